@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, langid, mixing
+from tabulith.llm import bpe, langid, mixing, pii
 from tabulith.llm.common import held_out, table
 
 
@@ -25,6 +25,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "row.held_out", "lang_pred", "score", "bits", "rejected")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = pii.detect(docs, pii.learn(docs))
+    return got.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
