@@ -35,11 +35,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith.llm.common import staged
 
-CHUNK_CHARS = 8 << 20
-CHUNK_ROWS = 8192
+CHUNK_CHARS = 32 << 20
+CHUNK_ROWS = 32768
+TEXTS_A_ROW = 128
 MAX_VOCABULARY = 1 << 20
 
 
@@ -90,16 +92,37 @@ def splitter():
     return re.compile(pattern)
 
 
-_COLUMNS = "chunk long, row int, bucket int, doc_id {id}, payload binary"
+def _pack(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays of non-negative int32 by byte planes, so that high bytes cost nothing, and bytes; each with its size."""
+    out = []
+    for p in parts:
+        raw = np.ascontiguousarray(np.asarray(p, dtype="<i4").view(np.uint8).reshape(-1, 4).T).tobytes() if isinstance(p, np.ndarray) else p
+        out += [len(raw).to_bytes(8, "little"), raw]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def _chunks(buckets: int, id_type: pa.DataType):
-    schema = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("bucket", pa.int32()), ("doc_id", id_type), ("payload", pa.binary())])
+def _unpack(payload: bytes, kinds: str) -> list[np.ndarray | bytes]:
+    """kinds: i for an array, b for bytes."""
+    raw, at, out = zstandard.ZstdDecompressor().decompress(payload), 0, []
+    for kind in kinds:
+        n = int.from_bytes(raw[at : at + 8], "little")
+        part = raw[at + 8 : at + 8 + n]
+        at += 8 + n
+        out.append(part if kind == "b" else np.ascontiguousarray(np.frombuffer(part, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel())
+    return out
+
+
+def _cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _chunks(buckets: int, schema: pa.Schema):
+    """A chunk's rows: its texts as ranks of its words (most frequent first), and its words by bucket with their ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pack = splitter().findall, zstandard.ZstdCompressor(level=1).compress
-        first = TaskContext.get().partitionId() << 32
-        serial = count(first)
+        split = splitter().findall
+        serial = count(TaskContext.get().partitionId() << 32)
         ids: list = []
         found: list[np.ndarray] = []
         chars = 0
@@ -107,32 +130,26 @@ def _chunks(buckets: int, id_type: pa.DataType):
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, found, chars, slots
-            chunk = next(serial)
-            by: defaultdict[int, list[str]] = defaultdict(list)
-            for w in slots:
-                by[zlib.crc32(w.encode()) % buckets].append(w)
-            place = np.empty(len(slots), dtype=np.int32)
-            at, rows = 0, []
-            for b in sorted(by):
-                words = by[b]
-                place[[slots[w] for w in words]] = np.arange(at, at + len(words), dtype=np.int32)
-                at += len(words)
-                raw = [w.encode() for w in words]
-                rows.append((b, pack(_packed(raw))))
-            texts = [pack(place[x].tobytes()) for x in found]
-            n, k = len(texts), len(rows)
-            out = pa.record_batch(
-                [
-                    pa.array([chunk] * (n + k), pa.int64()),
-                    pa.array([*range(n), *[None] * k], pa.int32()),
-                    pa.array([*[None] * n, *[b for b, _ in rows]], pa.int32()),
-                    pa.array([*ids, *[None] * k], id_type),
-                    pa.array([*texts, *[p for _, p in rows]], pa.binary()),
-                ],
-                schema=schema,
-            )
+            raw = [w.encode() for w in slots]
+            bucket = np.fromiter((zlib.crc32(w) for w in raw), dtype=np.int64, count=len(raw)) % buckets
+            often = np.bincount(np.concatenate(found), minlength=len(raw)) if raw else np.zeros(0, dtype=np.int64)
+            alphabetic = np.empty(len(raw), dtype=np.int64)
+            alphabetic[sorted(range(len(raw)), key=raw.__getitem__)] = np.arange(len(raw))
+            order = np.lexsort((alphabetic, bucket, -often))
+            rank = np.empty(len(raw), dtype=np.int32)
+            rank[order] = np.arange(len(raw), dtype=np.int32)
+            rows = []
+            for lo in range(0, len(ids), TEXTS_A_ROW):
+                part = found[lo : lo + TEXTS_A_ROW]
+                sizes = np.array([len(x) for x in part], dtype=np.int32)
+                rows.append((None, ids[lo : lo + TEXTS_A_ROW], _pack(sizes, rank[np.concatenate(part)])))
+            by = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then rank
+            for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+                words = [raw[i] for i in own.tolist()]
+                rows.append((int(bucket[own[0]]), None, _pack(np.diff(rank[own], prepend=0), np.array([len(w) for w in words]), b"".join(words))))
+            columns = [[next(serial)] * len(rows), *map(list, zip(*rows, strict=True))]
             ids, found, chars, slots = [], [], 0, defaultdict(count().__next__)
-            return out
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -150,62 +167,54 @@ def _chunks(buckets: int, id_type: pa.DataType):
 
 
 def _merge(name: str):
-    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct word of this task's buckets is merged once; a bucket's words of a chunk keep their order."""
-        merge, unpack, pack = _merger(name), zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        known: dict[bytes, bytes] = {}
+        """Each distinct word of this task's buckets is merged once; its ids go back to every chunk that has it."""
+        merge = _merger(name)
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
             out = []
-            for bucket, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for payload in batch.column(1).to_pylist():
+                ranks, sizes, words = _unpack(payload, "iib")
                 ids = []
-                for w in _listed(unpack(payload)):
+                for w in _cut(words, sizes):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = np.array(merge(w), dtype=np.int32).tobytes()
+                        got = known[w] = merge(w)
                     ids.append(got)
-                out.append(pack(_packed(ids)))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=schema)
+                out.append(_pack(ranks, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x])))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
 
-def _packed(items: list[bytes]) -> bytes:
-    """The number of items, their lengths, and the items."""
-    return np.array([len(items), *map(len, items)], dtype=np.int32).tobytes() + b"".join(items)
-
-
-def _listed(raw: bytes) -> list[bytes]:
-    n = int.from_bytes(raw[:4], "little")
-    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(raw, dtype=np.int32, count=n, offset=4), dtype=np.int64)
-    starts = [4 * (n + 1), *ends[:-1].tolist()]
-    return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)] if n else []
-
-
 def _reassemble(name: str, digest: bool, schema: pa.Schema):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        pieces: list[bytes] = []
-        for _, payload in sorted(zip(words.column("bucket").to_pylist(), words.column("payload").to_pylist(), strict=True)):
-            pieces += _listed(unpack(payload))
         table = {i: w for w, i in _ranks(name).items()}
-        ids = [np.frombuffer(x, dtype=np.int32).tolist() for x in pieces]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        shown = [",".join(map(str, x)) for x in ids]
-        plain = [b"".join([table[i] for i in x]) for x in ids]
+        ids: dict[int, list[int]] = {}
+        for payload in words.column("payload").to_pylist():
+            ranks, sizes, flat = _unpack(payload, "iii")
+            flat, end = flat.tolist(), 0
+            for rank, n in zip(np.cumsum(ranks).tolist(), sizes.tolist(), strict=True):
+                ids[rank] = flat[end : end + n]
+                end += n
+        listed = [ids[i] for i in range(len(ids))]
+        lengths = np.array([len(x) for x in listed], dtype=np.int64)
+        shown = [",".join(map(str, x)) for x in listed] if digest else []
+        plain = [b"".join([table[i] for i in x]) for x in listed]
         out: list[list] = [[] for _ in schema]
-        for doc_id, payload in zip(texts.column("doc_id").to_pylist(), texts.column("payload").to_pylist(), strict=True):
-            slots = np.frombuffer(unpack(payload), dtype=np.int32)
-            at = slots.tolist()
-            decoded = b"".join([plain[i] for i in at])
-            row = [doc_id, int(sizes[slots].sum())]
-            if digest:
-                row += [hashlib.sha256(",".join([shown[i] for i in at]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-            else:
-                row += [[x for i in at for x in ids[i]], decoded]
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
+        for doc_ids, payload in zip(texts.column("doc_ids").to_pylist(), texts.column("payload").to_pylist(), strict=True):
+            sizes, ranks = _unpack(payload, "ii")
+            for doc_id, slots in zip(doc_ids, np.split(ranks, np.cumsum(sizes)[:-1]), strict=True):
+                at = slots.tolist()
+                decoded = b"".join([plain[i] for i in at])
+                if digest:
+                    last = hashlib.sha256(",".join([shown[i] for i in at]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+                else:
+                    last = [x for i in at for x in listed[i]], decoded
+                for column, value in zip(out, (doc_id, int(lengths[slots].sum()), *last), strict=True):
+                    column.append(value)
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
@@ -216,21 +225,20 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", digest: b
 
     name: a rank file of public_tokenizers.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     spark: SparkSession = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    chunks = staged(read.mapInArrow(_chunks(buckets, to_arrow_type(kind)), _COLUMNS.format(id=kind.simpleString())), "bpe-chunks")
-    words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "payload")
-    merged = words.repartition(F.col("bucket")).mapInArrow(_merge(name), "chunk long, bucket int, payload binary")
-    texts = chunks.where(F.col("row").isNotNull()).select("chunk", "doc_id", "payload")
-    last = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    types = [pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
-    names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), *zip(names, types, strict=True)])
-    return texts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble(name, digest, schema), f"doc_id {kind.simpleString()}, n_tokens long, {last}")
+    made = T.StructType().add("chunk", "long").add("bucket", "integer").add("doc_ids", T.ArrayType(kind)).add("payload", "binary")
+    chunks = staged(read.mapInArrow(_chunks(buckets, to_arrow_schema(made)), made), "bpe-chunks")
+    words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "payload", "bucket")
+    merged = words.repartition(F.col("bucket")).select("chunk", "payload").mapInArrow(_merge(name), "chunk long, payload binary")
+    texts = chunks.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "payload")
+    out = T.StructType().add("doc_id", kind).add("n_tokens", "long")
+    out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
+    return texts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble(name, digest, to_arrow_schema(out)), out)
 
 
 def token_bytes(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
