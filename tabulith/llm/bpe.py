@@ -189,39 +189,48 @@ def _merge(name: str):
     return run
 
 
-def _reassemble(name: str, digest: bool, schema: pa.Schema):
+def _reassemble(name: str, want_ids: bool, digest: bool, schema: pa.Schema):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         table = {i: w for w, i in _ranks(name).items()}
-        ids: dict[int, list[int]] = {}
-        for payload in words.column("payload").to_pylist():
-            ranks, sizes, flat = _unpack(payload, "iii")
-            flat, end = flat.tolist(), 0
-            for rank, n in zip(np.cumsum(ranks).tolist(), sizes.tolist(), strict=True):
-                ids[rank] = flat[end : end + n]
-                end += n
-        listed = [ids[i] for i in range(len(ids))]
-        lengths = np.array([len(x) for x in listed], dtype=np.int64)
-        shown = [",".join(map(str, x)) for x in listed] if digest else []
+        parts = [_unpack(p, "iii") for p in words.column("payload").to_pylist()]
+        ranks = np.concatenate([np.cumsum(r) for r, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
+        sizes = np.concatenate([n for _, n, _ in parts]).astype(np.int64) if parts else ranks
+        flat = np.concatenate([i for _, _, i in parts]) if parts else ranks.astype(np.int32)
+        starts, lengths = np.empty_like(ranks), np.empty_like(ranks)
+        starts[ranks], lengths[ranks] = np.cumsum(sizes) - sizes, sizes
+        listed = [flat[a : a + n].tolist() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)] if digest else []
+        shown = [",".join(map(str, x)) for x in listed]
         plain = [b"".join([table[i] for i in x]) for x in listed]
-        out: list[list] = [[] for _ in schema]
-        for doc_ids, payload in zip(texts.column("doc_ids").to_pylist(), texts.column("payload").to_pylist(), strict=True):
-            sizes, ranks = _unpack(payload, "ii")
-            for doc_id, slots in zip(doc_ids, np.split(ranks, np.cumsum(sizes)[:-1]), strict=True):
+        doc_ids: list = []
+        totals, gathered, digests = [], [], []
+        for own, payload in zip(texts.column("doc_ids").to_pylist(), texts.column("payload").to_pylist(), strict=True):
+            counts, slots = _unpack(payload, "ii")
+            doc_ids += own
+            ends = np.cumsum(counts)
+            held = lengths[slots]
+            sums = np.concatenate([[0], np.cumsum(held)])
+            totals.append(sums[ends] - sums[ends - counts])
+            if want_ids:  # of each word its run of flat
+                gathered.append(flat[np.repeat(starts[slots] - sums[:-1], held) + np.arange(sums[-1])])
+            if digest:
                 at = slots.tolist()
-                decoded = b"".join([plain[i] for i in at])
-                if digest:
-                    last = hashlib.sha256(",".join([shown[i] for i in at]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                else:
-                    last = [x for i in at for x in listed[i]], decoded
-                for column, value in zip(out, (doc_id, int(lengths[slots].sum()), *last), strict=True):
-                    column.append(value)
-        return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                for hi, n in zip(ends.tolist(), counts.tolist(), strict=True):
+                    mine = at[hi - n : hi]
+                    digests.append((hashlib.sha256(",".join([shown[i] for i in mine]).encode()).hexdigest(), hashlib.sha256(b"".join([plain[i] for i in mine])).hexdigest()))
+        n_tokens = np.concatenate(totals) if totals else np.zeros(0, dtype=np.int64)
+        columns = [pa.array(doc_ids, schema.field("doc_id").type), pa.array(n_tokens, pa.int64())]
+        if want_ids:
+            offsets = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(gathered) if gathered else flat, pa.int32())))
+        if digest:
+            columns += [pa.array([d[k] for d in digests], pa.string()) for k in (0, 1)]
+        return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
 
     return run
 
 
-def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", digest: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, then ids and decoded (the bytes), or the digests of both.
+def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", ids: bool = True, digest: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, and on request ids, and the digests of the ids and of the bytes decoded from them.
 
     name: a rank file of public_tokenizers.
     """
@@ -237,8 +246,9 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", digest: b
     merged = words.repartition(F.col("bucket")).select("chunk", "payload").mapInArrow(_merge(name), "chunk long, payload binary")
     texts = chunks.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "payload")
     out = T.StructType().add("doc_id", kind).add("n_tokens", "long")
-    out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else out.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
-    return texts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble(name, digest, to_arrow_schema(out)), out)
+    out = out.add("ids", T.ArrayType(T.IntegerType())) if ids else out
+    out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else out
+    return texts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble(name, ids, digest, to_arrow_schema(out)), out)
 
 
 def token_bytes(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:

@@ -166,9 +166,9 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """Language, confidence, bits per character and rejected, for each text."""
         got = []
-        for text, e in zip(texts, self.entropies(texts) if self.langs else [None] * len(texts), strict=True):
-            if e is None:
-                got.append((UNDETERMINED, 0.0, 0.0, True))
+        for text, e in zip(texts, self.entropies(texts), strict=True):
+            if e is None or not len(e):  # no letter, or no language learned: only the former is rejected
+                got.append((UNDETERMINED, 0.0, 0.0, e is None))
                 continue
             best = int(np.argmin(e))
             # odds softened as if the text had at most 64 independent characters

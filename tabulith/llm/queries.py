@@ -20,7 +20,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), digest=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
