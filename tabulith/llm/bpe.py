@@ -42,6 +42,7 @@ from tabulith.llm.common import staged
 CHUNK_CHARS = 32 << 20
 CHUNK_ROWS = 32768
 TEXTS_A_ROW = 128
+COMMON = 255  # ranks below it take one byte, others go to a stream of their own
 MAX_VOCABULARY = 1 << 20
 
 
@@ -142,7 +143,9 @@ def _chunks(buckets: int, schema: pa.Schema):
             for lo in range(0, len(ids), TEXTS_A_ROW):
                 part = found[lo : lo + TEXTS_A_ROW]
                 sizes = np.array([len(x) for x in part], dtype=np.int32)
-                rows.append((None, ids[lo : lo + TEXTS_A_ROW], _pack(sizes, rank[np.concatenate(part)])))
+                slot = rank[np.concatenate(part)]
+                rare = slot[slot >= COMMON] - COMMON
+                rows.append((None, ids[lo : lo + TEXTS_A_ROW], _pack(sizes, np.minimum(slot, COMMON).astype(np.uint8).tobytes(), rare)))
             by = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then rank
             for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
                 words = [raw[i] for i in own.tolist()]
@@ -204,7 +207,9 @@ def _reassemble(name: str, want_ids: bool, digest: bool, schema: pa.Schema):
         doc_ids: list = []
         totals, gathered, digests = [], [], []
         for own, payload in zip(texts.column("doc_ids").to_pylist(), texts.column("payload").to_pylist(), strict=True):
-            counts, slots = _unpack(payload, "ii")
+            counts, common, rare = _unpack(payload, "ibi")
+            slots = np.frombuffer(common, dtype=np.uint8).astype(np.int64)
+            slots[slots == COMMON] += rare
             doc_ids += own
             ends = np.cumsum(counts)
             held = lengths[slots]
