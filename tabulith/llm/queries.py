@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk
+from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk, wrapper
 from tabulith.llm.common import held_out, table
 
 
@@ -43,6 +43,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = wrapper.main_texts(table(spark, sf_dir, "pages"))
+    return got.select("row.page_id", "row.url", "text", "n_chars")
+
+
 OP6 = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
