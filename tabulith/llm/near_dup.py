@@ -1,20 +1,23 @@
 """Near duplicates by ProbMinHash, banding and exact verification.
 
 A text is the sequence of its words (runs of anything but ASCII white space, lower case); its
-elements are shingles of five words weighted by how often they occur, a shorter text being
-one shingle. Similarity is the probability Jaccard J_P of two weighted sets, which for
-unweighted ones is the plain Jaccard.
+elements are shingles of five words, weighted by 1 + ln(times) so that repeated passages count
+more, but not in proportion. A shorter text is one shingle.
 
 1. Each element's points arrive as a Poisson process of the rate of its weight, seeded by the
    element alone; each point falls on one of M registers, which keeps its first arrival's
-   element. Two texts agree in a register with probability J_P. Arrivals beyond a time at which
-   all registers are filled can't matter, so generation stops there (early termination).
+   element. Two texts agree in a register with the probability Jaccard of their weighted sets
+   (the plain Jaccard where weights are equal). Arrivals beyond a time at which all registers
+   are filled can't matter, so generation stops there (early termination).
 2. Texts with equal word sequences are one node, so large groups of copies vanish here.
-3. Registers form BANDS bands of ROWS; nodes that share a band are candidates. A bucket's
-   candidates are first its members against its smallest member (a star, never all pairs).
-4. Candidates are verified by exact J_P >= 0.8 on their whole shingle sets; links form
-   components. What remains are pairs of one bucket that lie in different components and
-   were not compared yet: they are verified too, so a bucket loses no link.
+3. Registers form BANDS bands of ROWS; nodes that share a band are candidates. In each bucket
+   all are compared with its hub, the member with most neighbours: a star, never all pairs.
+4. Candidates are verified by the exact Jaccard of their shingle sets, 0.8 or more; links form
+   components. A member that shares i elements with its hub can't be similar to any other by
+   what both share with the hub unless i / (n + least - i) >= 0.8, where n is its size and
+   least the smallest size of the bucket; members below that are settled in this bucket (what
+   two of them share beside the hub puts them into buckets without it). Of those left, pairs
+   in different components are verified too.
 
 Shingle sets are computed only for texts in some shared bucket: a bitmap of bounded size
 (MAX_BITS) tells which texts to skip; a false hit costs work, never a result.
@@ -118,7 +121,7 @@ def weighted(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
     weight = np.diff(first, append=len(key))
     key = key[first]
-    return (key >> _U(44)).astype(np.int64), key & _U((1 << 44) - 1), weight.astype(np.float64)
+    return (key >> _U(44)).astype(np.int64), key & _U((1 << 44) - 1), 1 + np.log(weight)
 
 
 def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int = M) -> np.ndarray:
@@ -190,12 +193,15 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in batch.column(2).to_pylist()]
         keys: list[bytes] = []
         listed: list = []
+        sizes: list[int] = []
         for lo, hi in _grouped(texts):
             words, counts = word_hashes(texts[lo:hi])
             keys += _keys(words, counts)
-            got = bands(signatures(*weighted(*shingles(words, counts)), hi - lo)).view(np.int64).tolist()
+            owner, element, weight = weighted(*shingles(words, counts))
+            sizes += np.bincount(owner, minlength=hi - lo).tolist()
+            got = bands(signatures(owner, element, weight, hi - lo)).view(np.int64).tolist()
             listed += [b if n else None for b, n in zip(got, counts.tolist(), strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(listed, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "bands"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "n", "bands"])
 
 
 def _set_rows(bits: np.ndarray):
@@ -206,54 +212,28 @@ def _set_rows(bits: np.ndarray):
             texts = [t or "" for t in batch.column(1).take(pa.array(hit)).to_pylist()]
             for lo, hi in _grouped(texts):
                 words, counts = word_hashes(texts[lo:hi])
-                owner, element, weight = weighted(*shingles(words, counts))
-                cut = np.searchsorted(owner, np.arange(1, hi - lo))
-                sets = [e.tobytes() for e in np.split(element, cut)]
-                many = [b"" if (w == 1).all() else w.astype(np.int32).tobytes() for w in np.split(weight, cut)]
-                yield pa.record_batch([pa.array(_keys(words, counts), pa.binary()), pa.array(sets, pa.binary()), pa.array(many, pa.binary())], names=["key", "elements", "weights"])
+                owner, element, _ = weighted(*shingles(words, counts))
+                sets = [e.tobytes() for e in np.split(element, np.searchsorted(owner, np.arange(1, hi - lo)))]
+                yield pa.record_batch([pa.array(_keys(words, counts), pa.binary()), pa.array(sets, pa.binary())], names=["key", "elements"])
 
     return run
 
 
-def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """J_P of two weighted sets with sorted elements: sum over common i of 1 / sum_j max(x_j / x_i, y_j / y_i)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    x, y = wa[ia], wb[ib]
-    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
-    order = np.argsort(-(x / y), kind="stable")
-    x, y = x[order], y[order]
-    # those with a larger ratio x_j / y_j take x_j / x_i, the others y_j / y_i; equal ratios give the same either way
-    above = np.cumsum(x) + only_a
-    below = y.sum() - np.cumsum(y) + only_b
-    return float((1.0 / (above / x + below / y)).sum())
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        ea, wa, eb, wb = (batch.column(i).to_pylist() for i in range(2, 6))
-        for i in range(batch.num_rows):
-            a, b = np.frombuffer(ea[i], dtype=np.uint64), np.frombuffer(eb[i], dtype=np.uint64)
-            if min(len(a), len(b)) == 0:
-                continue
-            x = np.frombuffer(wa[i], dtype=np.int32).astype(float) if wa[i] else np.ones(len(a))
-            y = np.frombuffer(wb[i], dtype=np.int32).astype(float) if wb[i] else np.ones(len(b))
-            if probability_jaccard(a, x, b, y) >= THRESHOLD:
-                keep.append(i)
-        if keep:
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    one = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
-    two = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "wa", "eb", "wb")
-    return staged(rows.mapInArrow(_verify, "a binary, b binary"), "neardup-links")
+        one, two = (batch.column(i).to_pylist() for i in (2, 3))
+        sets = [(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(one, two, strict=True)]
+        common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets]
+        linked = [c > 0 and c >= THRESHOLD * (len(a) + len(b) - c) - 1e-9 for c, (a, b) in zip(common, sets, strict=True)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked)], names=["a", "b", "common", "linked"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the elements they have in common, and whether they are similar enough."""
+    one = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
+    two = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb")
+    return staged(rows.mapInArrow(_common, "a binary, b binary, common long, linked boolean"), "neardup-compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,43 +257,49 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    rows = staged(read.where("text is not null").mapInArrow(_signed_rows, f"doc_id {kind}, text_hash long, key binary, bands array<long>"), "neardup-rows")
+    rows = staged(read.where("text is not null").mapInArrow(_signed_rows, f"doc_id {kind}, text_hash long, key binary, n long, bands array<long>"), "neardup-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    nodes = staged(rows.groupBy("key").agg(first.alias("first"), F.any_value("bands").alias("bands")), "neardup-nodes")
-    member = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "hash"))
-    shared = member.groupBy("band", "hash").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = staged(member.join(shared, ["band", "hash"]), "neardup-buckets")
-    stars = staged(member.where("key <> hub").groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("n")), "neardup-stars")
+    nodes = staged(rows.groupBy("key").agg(first.alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "neardup-nodes")
+    member = nodes.where("bands is not null").select("key", "n", F.posexplode("bands").alias("band", "hash"))
+    shared = member.groupBy("band", "hash").agg(F.count("*").alias("members")).where("members > 1")
+    member = staged(member.join(shared, ["band", "hash"]), "neardup-members")
+    degree = member.groupBy("key").agg(F.sum("members").alias("degree"))
+    ranked = member.select("key", "n", "band", "hash").join(degree, "key")
+    hubs = ranked.groupBy("band", "hash").agg(F.max(F.struct("degree", "key")).alias("hub"), F.min("n").alias("least")).select("band", "hash", F.col("hub.key").alias("hub"), "least")
+    member = staged(member.select("key", "n", "band", "hash").join(hubs, ["band", "hash"]).where("key <> hub"), "neardup-buckets")
+    stars = staged(member.groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("times")), "neardup-stars")
     # shingle sets of texts in shared buckets, through a bitmap over the first row's hash
-    texts = member.select("key").distinct().join(nodes, "key").select(F.col("first.text_hash").alias("h"))
+    wanted = staged(stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct(), "neardup-wanted")
+    texts = wanted.join(nodes, "key").select(F.col("first.text_hash").alias("h"))
     size = min(MAX_BITS, max(1 << 15, 1 << (16 * max(1, texts.count()) - 1).bit_length()))
     place = F.expr(f"(h & {size - 1})")
     maps = texts.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bits")).collect()
     bits = np.zeros(size // 8, dtype=np.uint8)
     for r in maps:
         bits[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(r.bits, dtype=np.uint8)
-    found = read.where("text is not null").select("text_hash", "text").mapInArrow(_set_rows(bits), "key binary, elements binary, weights binary")
-    wanted = member.select("key").distinct()
-    sets = staged(found.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("elements").alias("elements"), F.any_value("weights").alias("weights")), "neardup-sets")
-    # each text against the hub that it shares most bands with
-    best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = _linked(best, sets)
-    labels = components(links)
+    found = read.where("text is not null").select("text_hash", "text").mapInArrow(_set_rows(bits), "key binary, elements binary")
+    sets = staged(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "neardup-sets")
+    # each text against the hub that it shares most bands with, then against its other hubs outside its component
+    best = stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    known = compared(best, sets)
+    labels = components(known.where("linked"))
     label = lambda k: F.coalesce(F.col(f"{k}_label"), F.col(k))
     named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
     rest = named(named(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), "a"), "b").where(label("a") != label("b")).select("a", "b")
-    links = links.union(_linked(rest, sets))
-    labels = components(links)
-    # buckets that still hold several components: their members of different ones, but for the stars compared above
-    split = named(member.withColumnRenamed("key", "a"), "a").select("band", "hash", "hub", "a", label("a").alias("l"))
-    mixed_ = split.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("band", "hash")
-    split = staged(split.join(mixed_, ["band", "hash"]).where("a <> hub"), "neardup-split")
-    other = split.select("band", "hash", F.col("a").alias("b"), F.col("l").alias("m"))
-    rest = split.join(other, ["band", "hash"]).where("a < b and l <> m").select("a", "b").distinct()
+    known = known.union(compared(rest, sets))
+    labels = components(known.where("linked"))
+    # buckets whose members still lie in different components: those not settled by what they share with the hub
+    facts = known.select(F.col("a").alias("key"), F.col("b").alias("hub"), "common", "linked")
+    left = member.join(facts, ["key", "hub"], "left").where("linked is null or linked or common >= 0.8 * (n + least - common) - 1e-9")
+    left = named(left.select("band", "hash", F.col("key").alias("a")), "a").select("band", "hash", "a", label("a").alias("l"))
+    torn = left.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("band", "hash")
+    left = staged(left.join(torn, ["band", "hash"]), "neardup-left")
+    other = left.select("band", "hash", F.col("a").alias("b"), F.col("l").alias("m"))
+    rest = left.join(other, ["band", "hash"]).where("a < b and l <> m").select("a", "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = _linked(rest, sets)
+    more = compared(rest, sets).where("linked")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = components(known.where("linked").union(more))
     whole = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     heads = whole.groupBy("label").agg(F.min("first").alias("head"))
     named_nodes = whole.join(heads, "label").select("key", "head")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk, wrapper
+from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk, toxicity, wrapper
 from tabulith.llm.common import held_out, table
 
 
@@ -29,6 +29,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", "row.held_out", "lang_pred", "score", "bits", "rejected")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = toxicity.learn(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(docs, model).select("row.doc_id", "row.held_out", "score", "predicted")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
