@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 BITS = 20
-FEATURES = 30_000
-ROWS_A_CLASS = 2500
+FEATURES = 3000
+ROWS_A_CLASS = 2000
 FIT_CHARS = 50_000
-PENALTY = 2.0
+PENALTY = 10.0
 ROUNDS = 200
 SLICE = 1 << 20
 
@@ -131,15 +131,18 @@ def logistic(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.
     return w, b
 
 
-def fit(texts: list[str], labels: list[int]) -> Linear:
+def fit(texts: list[str], labels: list[int], share: float | None = None) -> Linear:
+    """share: how many of all documents are of class 1, where the sample doesn't show that."""
     y = np.array(labels, dtype=float)
     weights = np.zeros(1 << BITS)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return Linear(weights, float(np.log(p / (1 - p))))
-    owner, feature = grams(texts)
-    one = np.bincount(feature, weights=y[owner], minlength=1 << BITS)
-    every = np.bincount(feature, minlength=1 << BITS)
+    one, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for lo in range(0, len(texts), 64):  # counted a few texts at a time: all pairs at once would be large
+        owner, feature = grams(texts[lo : lo + 64])
+        every += np.bincount(feature, minlength=1 << BITS)
+        one += np.bincount(feature, weights=y[lo + owner], minlength=1 << BITS)
     n1, n0 = y.sum(), len(y) - y.sum()
     ratio = np.log((one + 1) / (n1 + 2)) - np.log((every - one + 1) / (n0 + 2))
     # the features whose counts differ most beyond their expected spread
@@ -147,25 +150,32 @@ def fit(texts: list[str], labels: list[int]) -> Linear:
     spread = np.abs(one - expected) / np.sqrt(np.maximum(expected * (1 - n1 / len(y)), 1e-9))
     spread[every < 3] = 0
     chosen = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[feature] >= 0
-    owner, column = owner[keep], place[feature[keep]]
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[chosen] = True
+    owner, feature = grams(texts, wanted)
+    column = np.searchsorted(chosen, feature)
     starts = np.searchsorted(owner, np.arange(len(y) + 1))
     w, b = logistic(starts, column, ratio[chosen][column], y, len(chosen))
     weights[chosen] = w * ratio[chosen]
+    if share is not None:  # the sample is even between the classes, the documents are not
+        share = float(np.clip(share, 1e-4, 1 - 1e-4))
+        b += np.log(share / (1 - share)) - np.log(n1 / n0)
     return Linear(weights, b)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_A_CLASS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``rows`` documents of each class, the first by a hash of doc_id; of repeated labels the highest."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_A_CLASS) -> tuple[list[str], list[int], float | None]:
+    """Texts and labels of at most ``rows`` documents of each class, the first by a hash of doc_id, and the share of class 1.
+
+    Of repeated labels the highest counts.
+    """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    share = one.agg(F.avg("y")).first()[0]
     classes = [one.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     picked = classes[0].union(classes[1])  # 2 * rows at most, so it may be broadcast
     # sorted here: the sums of the fit then don't depend on the order in which rows arrive
-    found = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    found = sorted((r.doc_id, r.text or "", r.y) for r in found)[: 2 * rows]
-    return [t for _, t, _ in found], [y for _, _, y in found]
+    found = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").limit(4 * rows).collect()
+    found = sorted((r.doc_id, r.text or "", r.y) for r in found)
+    return [t for _, t, _ in found], [y for _, _, y in found], share
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Linear:
