@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk, toxicity, wrapper
+from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk, toxicity, webp, wrapper
 from tabulith.llm.common import held_out, table
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.described(webp.stored(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
