@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulith.llm import bpe, langid, mixing, near_dup, pii, topk, toxicity, webp, wrapper
+from tabulith.llm import bpe, langid, mixing, near_dup, pii, quality, topk, toxicity, webp, wrapper
 from tabulith.llm.common import held_out, table
 
 
@@ -23,6 +23,12 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.described(webp.stored(table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = quality.learn(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(docs, model).select("row.doc_id", "row.held_out", "score", "content", "metadata", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
