@@ -1 +1 @@
-"""Tabulith operators."""
+"""Operators on papers, pages and tables; each takes and gives DataFrames."""

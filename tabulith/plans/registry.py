@@ -2,20 +2,415 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulith.functions import cells as fc
+from tabulith.functions import papers as fp
+from tabulith.functions.text import strip
+from tabulith.operators import classifier, fuse, gates, grid, layout
+from tabulith.operators import papers as op
+from tabulith.plans import fixtures as fx
+from tabulith.plans import oracles
+from tabulith.sources import readers
+from tabulith.sources.stages import shared_dir
+from tabulith.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# ---- papers -----------------------------------------------------------------------------
+
+
+@query
+def literature_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.literature(fx.papers(spark, sf_dir)).select("pdf_id", "title")
+
+
+@query
+def age_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.papers(spark, sf_dir).select("pdf_id", fp.age(F.col("abstract")).alias("age"))
+
+
+@query
+def keyword_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.papers(spark, sf_dir).select("pdf_id", *[fp.first_term(F.col(c), fx.TERMS[k]).alias(f"{k}_{c}") for k in sorted(fx.TERMS) for c in ("title", "abstract")])
+
+
+@query
+def tectonic_from_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.papers(spark, sf_dir).select("pdf_id", *[c.alias(n) for c, n in zip(fp.places(F.col("title")), ("geotectonic", "tectonic", "subtectonic"), strict=True)])
+
+
+@query
+def raw_tectonic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.papers(spark, sf_dir).select("pdf_id", *[c.alias(n) for c, n in zip(fp.names(F.col("title")), ("geotectonic", "tectonic", "subtectonic"), strict=True)])
+
+
+@query
+def pluton_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.papers(spark, sf_dir).select("pdf_id", fp.pluton(F.col("title")).alias("in_title"), fp.pluton(F.col("abstract")).alias("in_abstract"))
+
+
+@query
+def paper_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.paper_defaults(fx.papers(spark, sf_dir), fx.TERMS)
+
+
+@query
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.pending(fx.papers(spark, sf_dir).select("pdf_id", "journal"), fx.marks(spark, sf_dir))
+
+
+@query
+def accepted_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.accepted(fx.papers(spark, sf_dir).select("pdf_id", "journal"), fx.marks(spark, sf_dir))
+
+
+@query
+def extract_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.to_extract(fx.papers(spark, sf_dir).select("pdf_id", "journal"), fx.areas(spark, sf_dir), fx.marks(spark, sf_dir).where("has_header"))
+
+
+@query
+def fuse_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = fx.cells(spark, sf_dir).select(*gates.TABLE).distinct()
+    return op.to_fuse(tables, fx.marks(spark, sf_dir), fx.papers(spark, sf_dir))
+
+
+# ---- cells ------------------------------------------------------------------------------
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names behind header-like words: one row for each part."""
+    shown = (
+        "CASE p_partkey % 16 WHEN 0 THEN 'Sample no. ' WHEN 1 THEN 'Percentage ' WHEN 2 THEN '143Nd/144Nd ' WHEN 3 THEN '147 Sm ' WHEN 4 THEN 'Sm (ppm) ' WHEN 5 THEN 'nd [ppm] ' "
+        "WHEN 6 THEN '87Sr/86Sr 2σ ' WHEN 7 THEN '± 2 ' WHEN 8 THEN 'ɛNd (t) ' WHEN 9 THEN 'fSm/Nd ' WHEN 10 THEN 'TDM2 ' WHEN 11 THEN 'Sub Groups ' WHEN 12 THEN 'geotectonic unit ' "
+        "WHEN 13 THEN 'Rock description ' WHEN 14 THEN 'Nd, ppm ( ' ELSE '' END || p_name"
+    )
+    return fx.table(spark, sf_dir, "part").selectExpr("p_partkey", f"{shown} AS header")
+
+
+@query
+def header_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headers(spark, sf_dir).select("p_partkey", "header", fc.header_type(F.col("header")).alias("kind"), fc.has_sm_nd(F.col("header")).alias("names_sm_nd"))
+
+
+@query
+def numeric_cell_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.cells(spark, sf_dir).where(fc.is_value(F.col("value")))
+
+
+@query
+def uncertainty_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio, sigma = fc.split_uncertainty(F.col("value"), F.lit(""))
+    return fx.cells(spark, sf_dir).where("cid = 4").select("pdf_id", "page", "rid", "value", ratio.alias("ratio"), sigma.alias("sigma"))
+
+
+@query
+def sigma_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.cells(spark, sf_dir).where("cid IN (5, 6)").select("pdf_id", "page", "rid", "cid", strip(fc.sigma_digits(F.col("value"))).alias("digits"))
+
+
+# ---- tables -----------------------------------------------------------------------------
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.table_quality(fx.cells(spark, sf_dir))
+
+
+@query
+def table_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir)
+
+
+@query
+def gate_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).select(*gates.TABLE, "bad_format")
+
+
+@query
+def gate_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).select(*gates.TABLE, "bad_encoding")
+
+
+@query
+def gate_false_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).select(*gates.TABLE, "bad_text")
+
+
+@query
+def gate_mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir).select(*gates.TABLE, "bad_mixture")
+
+
+@query
+def table_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.table_features(fx.cells(spark, sf_dir))
+
+
+@query
+def paper_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.paper_marks(_quality(spark, sf_dir)).select("pdf_id", "has_header", F.to_json("table_marks").alias("table_marks"))
+
+
+@query
+def rule_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = fx.cells(spark, sf_dir).select(*gates.TABLE).distinct().selectExpr(*gates.TABLE, "pdf_id % 7 <> 0 AS available", "CAST(page = 5 AS INT) AS encode", "CAST(pdf_id % 11 = 0 AS INT) AS format", "CAST(page IN (2, 7) AS INT) AS mixed")
+    return gates.rule_agreement(_quality(spark, sf_dir), labels)
+
+
+@query
+def label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    negatives = fx.cells(spark, sf_dir).select(*gates.TABLE).distinct().where("page = 5 OR (pdf_id + page) % 6 = 0")
+    return gates.label_precision(_quality(spark, sf_dir), negatives)
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.table(spark, sf_dir, "lineitem")
+    return lines.selectExpr(
+        "l_suppkey AS pdf_id", "l_linenumber AS page", "CAST(l_partkey % 10 AS INT) AS table_id", "CAST(l_orderkey % 5 AS INT) AS attempt",
+        "CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_quantity > 5 END AS bad", "CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_partkey % 40 = 0 END AS has_header", "CASE WHEN l_orderkey % 17 = 0 THEN 'no grid' END AS error",
+    )
+
+
+@query
+def attempt_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.select_attempt(_attempts(spark, sf_dir))
+
+
+@query
+def attempt_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.errors(_attempts(spark, sf_dir)).groupBy("pdf_id", "error").agg(F.count("*").alias("n"))
+
+
+@query
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir)
+    labels = cells.select(*gates.TABLE).distinct().selectExpr(*gates.TABLE, "CAST(page NOT IN (5, 6) AND (pdf_id * 7 + page) % 13 <> 0 AS INT) AS label")
+    return classifier.cross_validation(gates.table_features(cells), labels)
+
+
+# ---- fusion -----------------------------------------------------------------------------
+
+
+@query
+def pluton_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.primary_rows(fuse.with_probe(fx.cells(spark, sf_dir), gated=False), fx.PLUTONS).select(*gates.TABLE, "rid", "sample", "is_data", "row_pluton")
+
+
+def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.with_probe(fx.cells(spark, sf_dir))
+
+
+@query
+def primary_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.upsert(fuse.primary_facts(_good(spark, sf_dir), fx.PLUTONS, fx.LITHOLOGIES)).select("pdf_id", "sample", "header", "value")
+
+
+@query
+def secondary_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _good(spark, sf_dir)
+    return fuse.upsert(fuse.secondary_facts(good, fuse.primary_facts(good, fx.PLUTONS, fx.LITHOLOGIES))).select("pdf_id", "sample", "header", "value")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attributes = fuse.fuse(fx.cells(spark, sf_dir), fx.PLUTONS, fx.LITHOLOGIES)
+    return fuse.records(attributes, fx.papers(spark, sf_dir), fx.TERMS)
+
+
+@query
+def final_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir)
+
+
+@query
+def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.fill_rate(_records(spark, sf_dir))
+
+
+# ---- layout -----------------------------------------------------------------------------
+
+
+def _page_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.on_page(fx.areas(spark, sf_dir), fx.sheets(spark, sf_dir)).drop("width", "height")
+
+
+def _cell_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four by four cells in each page's area."""
+    part = lambda a, b, k: f"{a} + ({b} - {a}) * {k} / 4"
+    rows = _page_areas(spark, sf_dir).selectExpr("*", "explode(sequence(0, 3)) AS rid").selectExpr("*", "explode(sequence(0, 3)) AS cid")
+    return rows.selectExpr("pdf_id", "page", "rid", "cid", *[f"{part(a, b, k)} AS {n}" for n, a, b, k in (("x0", "x0", "x1", "cid"), ("y0", "y0", "y1", "rid"), ("x1", "x0", "x1", "(cid + 1)"), ("y1", "y0", "y1", "(rid + 1)"))])
+
+
+@query
+def glyph_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.area_text(fx.glyphs(spark, sf_dir), _cell_areas(spark, sf_dir), ["rid", "cid"])
+
+
+@query
+def space_insertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = layout.with_spaces(fx.glyphs(spark, sf_dir), F.col("size") * 0.8)
+    return spaced.groupBy("pdf_id", "page").agg(F.count_if(F.col("seq") % 2 == 1).alias("inserted"), layout.in_order().alias("text"))
+
+
+@query
+def space_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = fx.glyphs(spark, sf_dir).withColumns({c: F.when(F.col("ch") != " ", F.col(c)) for c in layout.BOX})
+    return layout.with_marked_spaces(bare).groupBy("pdf_id", "page").agg(F.count("*").alias("n"), F.count_if(F.col("seq") % 2 == 1).alias("blanks"), F.sum("x1").alias("reach"))
+
+
+@query
+def text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = fx.glyphs(spark, sf_dir).where("pdf_id % 5 <> 0")
+    return layout.text_layer(fx.sheets(spark, sf_dir), some).select("pdf_id", "page", "has_text")
+
+
+@query
+def direction_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.direction(fx.glyphs(spark, sf_dir), _page_areas(spark, sf_dir), ["table_id"])
+
+
+@query
+def font_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.font_thresholds(fx.glyphs(spark, sf_dir), _page_areas(spark, sf_dir), ["table_id"], F.lit(6.0))
+
+
+@query
+def caption_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.captions(fx.glyphs(spark, sf_dir), _page_areas(spark, sf_dir), ["table_id"])
+
+
+@query
+def rotate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.element_at(F.array(*map(F.lit, ("up", "left", "down", "right"))), (F.col("pdf_id") % 4 + 1).cast("int"))
+    return fx.areas(spark, sf_dir).select("pdf_id", "page", turn.alias("direction"), *layout.BOX).select("pdf_id", "page", "direction", *layout.rotate(F.col("direction")))
+
+
+@query
+def shrink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.areas(spark, sf_dir).select("pdf_id", "page", *layout.shrink(0.5))
+
+
+@query
+def flip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_areas(spark, sf_dir).select("pdf_id", "page", *layout.flip(F.lit(fx.PAGE_H)))
+
+
+@query
+def confident_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS pdf_id", "l_linenumber AS page", f"row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY {fx.LINE_ORDER}) AS place", "l_partkey % 100 / 100 AS score")
+    return layout.confident(found)
+
+
+@query
+def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fx.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_linenumber", "l_quantity * 3.7 AS x0", "l_quantity * 2.3 AS y0", "l_quantity * 9.1 AS x1", "l_quantity * 8.9 AS y1")
+    return raw.select("l_orderkey", "l_partkey", "l_linenumber", *layout.normalised_pixels(F.lit(640), F.lit(800)))
+
+
+@query
+def detection_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = "'[0.1,0.2,0.9,0.' || CAST(25 + page AS STRING) || ']'"
+    lines = fx.sheets(spark, sf_dir).selectExpr(f"'/in/p' || CAST(pdf_id AS STRING) || '.pdf_' || lpad(CAST(page AS STRING), 3, '0') || ':[' || CASE pdf_id % 3 WHEN 0 THEN '' WHEN 1 THEN {box} ELSE {box} || ',[0.25,0.5,0.75,1.0]' END || ']' AS value")
+    return readers.parse_detections(lines)
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink of a page's lines: how many of their characters are rare ones."""
+    lines = fx.glyphs(spark, sf_dir).select("pdf_id", "page", (F.col("y0") / 12).cast("int").alias("y"), F.col("ch").isin("g", "l", "u").cast("int").alias("ink"))
+    return lines.groupBy("pdf_id", "page", "y").agg(F.sum("ink").alias("ink"))
+
+
+@query
+def row_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.row_separators(_profile(spark, sf_dir), layout.PAGE, 1)
+
+
+@query
+def separator_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.bands(layout.row_separators(_profile(spark, sf_dir), layout.PAGE, 1), layout.PAGE)
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fx.glyphs(spark, sf_dir).select("pdf_id", "page", F.floor(F.col("y0") / 60).cast("int").alias("band"), F.floor(F.col("x0") / 6).cast("int").alias("x"), F.col("ch").isin("e", "t").cast("int").alias("ink"))
+    profile = marked.groupBy("pdf_id", "page", "band", "x").agg(F.sum("ink").alias("ink"))
+    return layout.column_gaps(profile, layout.PAGE, F.lit(2))
+
+
+@query
+def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gaps(spark, sf_dir)
+
+
+@query
+def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.blocks(_gaps(spark, sf_dir), layout.PAGE, F.lit(fx.LINE - 1))
+
+
+@query
+def bands_from_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tall = fx.glyphs(spark, sf_dir).withColumn("y1", F.col("y1") + F.when(F.col("ch").isin("p", "q", "g"), 4).otherwise(0)).where("ch <> ' '")
+    return layout.glyph_bands(tall, layout.PAGE)
+
+
+def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text in five columns of ten characters, two lines of three: runs of glyphs as boxes of whole pixels."""
+    placed = fx.glyphs(spark, sf_dir).where("ch <> ' ' AND (y0 / 12) % 3 <> 2").select("pdf_id", "page", F.col("y0").cast("int").alias("y0"), F.floor(F.col("x0") / 6).cast("int").alias("place"))
+    runs = placed.where("place % 16 < 10").groupBy("pdf_id", "page", "y0", F.floor(F.col("place") / 16).cast("int").alias("column")).agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    return runs.selectExpr("pdf_id", "page", "0 AS table_id", "a * 6 AS x0", "y0", "b * 6 + 5 AS x1", "y0 + 10 AS y1", f"{int(fx.PAGE_W)} AS width", f"{int(fx.PAGE_H)} AS height", "20 AS threshold", "array(0, 106, 214, 610) AS row_edges", "array(0, 75, 170, 265, 499) AS column_edges")
+
+
+@query
+def grid_noframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.borderless_grids(_ink(spark, sf_dir))
+
+
+@query
+def grid_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ruled tables of four by three cells, of which some lack an inner rule."""
+    tables = fx.areas(spark, sf_dir).selectExpr("pdf_id", "page", "table_id", "explode(sequence(0, 7)) AS k")
+    x, y = "40 + (k - 5) * 150", "30 + k * 90"
+    rules = tables.where("NOT (k = 6 AND pdf_id % 4 = 1)").selectExpr("pdf_id", "page", "table_id", f"CASE WHEN k < 5 THEN 40 ELSE {x} END AS x0", f"CASE WHEN k < 5 THEN {y} ELSE 30 END AS y0", f"CASE WHEN k < 5 THEN 340 ELSE {x} END AS x1", f"CASE WHEN k < 5 THEN {y} ELSE 390 END AS y1", "500 AS width", "620 AS height", "20 AS threshold")
+    return grid.ruled_grids(rules)
+
+
+@query
+def table_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = fx.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS pdf_id", "l_linenumber AS page", "0 AS table_id", "l_partkey % 50 AS length")
+    return layout.rule_lines(segments, gates.TABLE)
+
+
+# ---- increments -------------------------------------------------------------------------
+
+
+@query
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as a stream in two runs over one checkpoint: the second finds nothing new."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = fx.table(spark, sf_dir, "pages").select("page_id", "url", "html").schema
+    step = lambda rows: rows.select("page_id", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.length("html").alias("chars"))
+    for _ in range(2):
+        ingest(spark, f"{sf_dir}/pages.parquet*", schema.simpleString()[7:-1].replace(":", " "), f"{root}/checkpoint", f"{root}/out", step)
+    return spark.read.parquet(f"{root}/out").groupBy("host").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _records(spark, sf_dir)

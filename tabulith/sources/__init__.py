@@ -1 +1 @@
-"""Tabulith sources."""
+"""Readers, writers and adapters at the engine's edges."""
