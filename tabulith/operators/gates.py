@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.cells import CONFUSED, ENCODED, has_sm_nd
-from tabulith.functions.text import DIGIT, DIGITS, BLANKS, PUNCTUATION, filled, matches, repeats
+from tabulith.functions.text import BLANKS, DIGIT, DIGITS, PUNCTUATION, counted, filled, matches, repeats
 
 TABLE = ["pdf_id", "page", "table_id"]
 FEATURES = ("columns", "rows", "blank", "digits", "punctuation", "spaces", "encoded", "dotted", "length")
 
-_NUMERIC = rf"[{DIGITS}!-/:-@\[-`{{-~Ee±–+]"
-_SHOWN = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]"
+#: Classes of characters: for ASCII texts, and for all.
+_NUMERIC = (r"[0-9!-/:-@\[-`{-~Ee]", rf"[{DIGITS}!-/:-@\[-`{{-~Ee±–]")
+_SHOWN = ("[^\\t-\\r\\x1c-\\x20]", "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]")
+_DIGIT = ("[0-9]", DIGIT)
 
 
 def mixed_cell(c: Column) -> Column:
     """Whether a mostly numeric cell holds what belongs to several: more dots or signs than one number has, or a repeated piece."""
-    chars = F.greatest(F.lit(1), matches(c, _SHOWN))
+    chars = F.greatest(F.lit(1), counted(c, *_SHOWN))
     signs, dashes = matches(c, "±"), matches(c, "–")
     dots = matches(c, r"\.") - signs - dashes - matches(c, "@") - matches(c, r"(?d)\(.*?\)")
-    numeric = matches(c, _NUMERIC) / chars > 0.7
+    numeric = counted(c, *_NUMERIC) / chars > 0.7
     return filled(c) & numeric & ((dots >= 2) | (signs >= 2) | (dashes >= 2) | repeats(c, 5))
 
 
@@ -44,7 +46,7 @@ def table_quality(cells: DataFrame, **more: Column) -> DataFrame:
         (small | (spaces > 0.4)).alias("bad_format"),
         F.bool_or(shown & v.rlike(ENCODED)).alias("bad_encoding"),
         F.bool_or(mixed_cell(v)).alias("bad_mixture"),
-        (F.bool_or(shown & v.rlike(CONFUSED)) | (_share(F.count_if(shown & ~v.rlike(DIGIT)), n) > 0.9)).alias("bad_text"),
+        (F.bool_or(shown & v.rlike(CONFUSED)) | (_share(F.count_if(shown & (counted(v, *_DIGIT) == 0)), n) > 0.9)).alias("bad_text"),
         F.bool_or(has_sm_nd(v)).alias("has_header"),
         *[c.alias(name) for name, c in more.items()],
     )
@@ -64,7 +66,7 @@ def table_features(cells: DataFrame) -> DataFrame:
         ((F.max("cid") + 1) / 20).alias("columns"),
         ((F.max("rid") + 1) / 20).alias("rows"),
         (F.count_if(~shown) / F.count("*")).alias("blank"),
-        mean(matches(v, DIGIT)).alias("digits"),
+        mean(counted(v, *_DIGIT)).alias("digits"),
         mean(matches(v, PUNCTUATION)).alias("punctuation"),
         mean(matches(v, " ")).alias("spaces"),
         mean(F.contains(v, F.lit("(cid")).cast("int")).alias("encoded"),
