@@ -291,11 +291,14 @@ def classes(docs: DataFrame) -> DataFrame:
     # buckets whose members still lie in different components: those not settled by what they share with the hub
     facts = known.select(F.col("a").alias("key"), F.col("b").alias("hub"), "common", "linked")
     left = member.join(facts, ["key", "hub"], "left").where("linked is null or linked or common >= 0.8 * (n + least - common) - 1e-9")
-    left = named(left.select("band", "hash", F.col("key").alias("a")), "a").select("band", "hash", "a", label("a").alias("l"))
+    left = left.select("band", "hash", F.col("key").alias("a"), "n", F.coalesce("common", "n").alias("i"))
+    left = named(left, "a").select("band", "hash", "a", label("a").alias("l"), "n", "i", F.floor(F.log(F.col("n")) / math.log(1.25)).alias("size"))
     torn = left.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("band", "hash")
     left = staged(left.join(torn, ["band", "hash"]), "neardup-left")
-    other = left.select("band", "hash", F.col("a").alias("b"), F.col("l").alias("m"))
-    rest = left.join(other, ["band", "hash"]).where("a < b and l <> m").select("a", "b").distinct()
+    # similar sets have sizes of a ratio of 0.8 at least, so they lie in the same or in neighbouring size classes
+    other = left.select("band", "hash", F.col("a").alias("b"), F.col("l").alias("m"), F.col("n").alias("o"), F.col("i").alias("j"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    able = "a < b and l <> m and least(i, j) >= 0.8 * (n + o - least(i, j)) - 1e-9"
+    rest = left.join(other, ["band", "hash", "size"]).where(able).select("a", "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = compared(rest, sets).where("linked")
     if more.limit(1).count():
