@@ -41,7 +41,8 @@ from tabulith.llm.common import staged
 
 CHUNK_CHARS = 32 << 20
 CHUNK_ROWS = 32768
-TEXTS_A_ROW = 128
+TEXTS_A_ROW, WORDS_A_ROW = 1024, 1 << 19  # a row ends at either
+LEVEL = 6  # of compression: what is written and shuffled is mostly ranks
 COMMON = 255  # ranks below it take one byte, others go to a stream of their own
 MAX_VOCABULARY = 1 << 20
 
@@ -99,7 +100,7 @@ def _pack(*parts: np.ndarray | bytes) -> bytes:
     for p in parts:
         raw = np.ascontiguousarray(np.asarray(p, dtype="<i4").view(np.uint8).reshape(-1, 4).T).tobytes() if isinstance(p, np.ndarray) else p
         out += [len(raw).to_bytes(8, "little"), raw]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(out))
 
 
 def _unpack(payload: bytes, kinds: str) -> list[np.ndarray | bytes]:
@@ -140,12 +141,17 @@ def _chunks(buckets: int, schema: pa.Schema):
             rank = np.empty(len(raw), dtype=np.int32)
             rank[order] = np.arange(len(raw), dtype=np.int32)
             rows = []
-            for lo in range(0, len(ids), TEXTS_A_ROW):
-                part = found[lo : lo + TEXTS_A_ROW]
+            lo = 0
+            while lo < len(ids):
+                hi, words_held = lo, 0
+                while hi < len(ids) and hi - lo < TEXTS_A_ROW and words_held < WORDS_A_ROW:
+                    words_held += len(found[hi])
+                    hi += 1
+                part, own_ids, lo = found[lo:hi], ids[lo:hi], hi
                 sizes = np.array([len(x) for x in part], dtype=np.int32)
                 slot = rank[np.concatenate(part)]
                 rare = slot[slot >= COMMON] - COMMON
-                rows.append((None, ids[lo : lo + TEXTS_A_ROW], _pack(sizes, np.minimum(slot, COMMON).astype(np.uint8).tobytes(), rare)))
+                rows.append((None, own_ids, _pack(sizes, np.minimum(slot, COMMON).astype(np.uint8).tobytes(), rare)))
             by = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then rank
             for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
                 words = [raw[i] for i in own.tolist()]
