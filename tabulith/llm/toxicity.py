@@ -26,7 +26,7 @@ BITS = 20
 FEATURES = 3000
 ROWS_A_CLASS = 2000
 FIT_CHARS = 50_000
-PENALTY = 10.0
+PENALTY = 0.1
 ROUNDS = 200
 SLICE = 1 << 20
 
