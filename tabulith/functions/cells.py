@@ -47,7 +47,7 @@ def has_sm_nd(c: Column) -> Column:
     """Whether a cell names an Sm-Nd quantity."""
     from tabulith.functions.text import DIGITS
 
-    return c.rlike(sm_nd_pattern(DIGITS))
+    return (F.contains(c, F.lit("Nd")) | F.contains(c, F.lit("Sm"))) & c.rlike(sm_nd_pattern(DIGITS))
 
 
 def is_value(c: Column) -> Column:

@@ -48,9 +48,18 @@ def matches(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
 def counted(c: Column, plain: str, full: str) -> Column:
     """How many characters of a class c holds: by a short pattern where all of c is ASCII, which is much faster, else by the full one."""
-    return F.when(F.length(c) == F.octet_length(c), matches(c, plain)).otherwise(matches(c, full))
+    return F.when(is_ascii(c), matches(c, plain)).otherwise(matches(c, full))
+
+
+def occurrences(c: Column, what: str) -> Column:
+    """How often one character stands in c."""
+    return F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))
 
 
 def repeats(c: Column, n: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.cells import CONFUSED, ENCODED, has_sm_nd
-from tabulith.functions.text import BLANKS, DIGIT, DIGITS, PUNCTUATION, counted, filled, matches, repeats
+from tabulith.functions.text import BLANKS, DIGIT, DIGITS, PUNCTUATION, counted, filled, is_ascii, matches, occurrences, repeats
 
 TABLE = ["pdf_id", "page", "table_id"]
 FEATURES = ("columns", "rows", "blank", "digits", "punctuation", "spaces", "encoded", "dotted", "length")
@@ -18,12 +18,18 @@ _DIGIT = ("[0-9]", DIGIT)
 
 
 def mixed_cell(c: Column) -> Column:
-    """Whether a mostly numeric cell holds what belongs to several: more dots or signs than one number has, or a repeated piece."""
-    chars = F.greatest(F.lit(1), counted(c, *_SHOWN))
-    signs, dashes = matches(c, "±"), matches(c, "–")
-    dots = matches(c, r"\.") - signs - dashes - matches(c, "@") - matches(c, r"(?d)\(.*?\)")
-    numeric = counted(c, *_NUMERIC) / chars > 0.7
-    return filled(c) & numeric & ((dots >= 2) | (signs >= 2) | (dashes >= 2) | repeats(c, 5))
+    """Whether a mostly numeric cell holds what belongs to several: more dots or signs than one number has, or a repeated piece.
+
+    Most cells are short ASCII with a dot at most: they are told by their length alone, and the
+    patterns are kept for the rest.
+    """
+    plain = is_ascii(c)
+    numeric = counted(c, *_NUMERIC) / F.greatest(F.lit(1), counted(c, *_SHOWN)) > 0.7
+    signs, dashes = (F.when(plain, 0).otherwise(occurrences(c, x)) for x in "±–")
+    brackets = F.when(F.contains(c, F.lit("(")), matches(c, r"(?d)\(.*?\)")).otherwise(0)
+    dots = occurrences(c, ".") - signs - dashes - occurrences(c, "@") - brackets
+    odd = filled(c) & numeric & ((dots >= 2) | (signs >= 2) | (dashes >= 2) | repeats(c, 5))
+    return F.when(plain & (F.length(c) <= 5) & (occurrences(c, ".") < 2), False).otherwise(odd)
 
 
 def _share(part: Column, of: Column) -> Column:
@@ -40,13 +46,15 @@ def table_quality(cells: DataFrame, **more: Column) -> DataFrame:
     v = F.coalesce(F.col("value"), F.lit(""))
     shown = filled(v)
     n = F.count_if(shown)
-    spaces = _share(F.sum(F.when(shown, F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit("")))).otherwise(0)), F.sum(F.length(v)))
+    spaces = _share(F.sum(F.when(shown, occurrences(v, " ")).otherwise(0)), F.sum(F.length(v)))
+    plain = is_ascii(v)
+    digit = F.when(plain, v.rlike("[0-9]")).otherwise(v.rlike(DIGIT))
     small = (n <= 20) | (F.max("rid") + 1 <= 5) | (F.max("cid") + 1 <= 3)
     got = cells.groupBy(*TABLE).agg(
         (small | (spaces > 0.4)).alias("bad_format"),
-        F.bool_or(shown & v.rlike(ENCODED)).alias("bad_encoding"),
+        F.bool_or(F.contains(v, F.lit("(cid:")) & v.rlike(ENCODED)).alias("bad_encoding"),
         F.bool_or(mixed_cell(v)).alias("bad_mixture"),
-        (F.bool_or(shown & v.rlike(CONFUSED)) | (_share(F.count_if(shown & (counted(v, *_DIGIT) == 0)), n) > 0.9)).alias("bad_text"),
+        (F.bool_or(~plain & v.rlike(CONFUSED)) | (_share(F.count_if(shown & ~digit), n) > 0.9)).alias("bad_text"),
         F.bool_or(has_sm_nd(v)).alias("has_header"),
         *[c.alias(name) for name, c in more.items()],
     )
@@ -68,9 +76,9 @@ def table_features(cells: DataFrame) -> DataFrame:
         (F.count_if(~shown) / F.count("*")).alias("blank"),
         mean(counted(v, *_DIGIT)).alias("digits"),
         mean(matches(v, PUNCTUATION)).alias("punctuation"),
-        mean(matches(v, " ")).alias("spaces"),
+        mean(occurrences(v, " ")).alias("spaces"),
         mean(F.contains(v, F.lit("(cid")).cast("int")).alias("encoded"),
-        mean((matches(v, r"\.") > 1).cast("int")).alias("dotted"),
+        mean((occurrences(v, ".") > 1).cast("int")).alias("dotted"),
         mean(F.length(v)).alias("length"),
     )
 
