@@ -20,6 +20,8 @@ RATIO, SIGMA = "143Nd/144Nd", "2σ"
 SM_ND = r"(ε|ɛ|e|E)Nd ?\(([DIGITS]+|t|T)\)|1?43 ?Nd|1?44 ?Nd|1?47 ?Sm|\(cid:[DIGITS]+\)Nd|fSm/Nd|Sm/Nd"
 ENCODED = r"\(cid:[0-9]+\)"
 CONFUSED = r"I．|O．|o．|．I|．O|．o|[0-9IoO]土[0-9IoO]|[0-9IoO]士[0-9IoO]"
+_SEPARATOR = r"([°\"'‘′’＇″¢Oo`]|\(cid:[0-9]+\))"  # marks of degrees, minutes and seconds, as decoders confuse them
+DEGREES = rf"[1-3]?[0-9]?[0-9]{_SEPARATOR}[0-6]?[0-9]{_SEPARATOR}[0-6]?[0-9]{_SEPARATOR}\.?[0-9]?[0-9]?[0-9]?"
 ISOTOPE_PAPER = r"εNd|Sr-Nd|Sr-Nd-Hf|143Nd/144Nd|Nd isotope|isotopic|TDM"
 NO_BACKSLASH = r"[!-/:-@\[\]-`{-~]"  # ASCII punctuation but the backslash
 
@@ -50,6 +52,16 @@ def has_sm_nd(c: Column) -> Column:
     return (F.contains(c, F.lit("Nd")) | F.contains(c, F.lit("Sm"))) & c.rlike(sm_nd_pattern(DIGITS))
 
 
+def is_coordinate(c: Column) -> Column:
+    """Whether a cell holds degrees, minutes and seconds."""
+    return filled(c) & c.rlike(DEGREES)
+
+
+def names_sample(c: Column) -> Column:
+    """Whether a cell speaks of samples."""
+    return F.contains(F.lower(c), F.lit("sample"))
+
+
 def is_value(c: Column) -> Column:
     """Not blank and without ASCII letters."""
     return filled(c) & ~c.rlike("[A-Za-z]")

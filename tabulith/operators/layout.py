@@ -169,6 +169,38 @@ def captions(glyphs: DataFrame, outlines: DataFrame, keys: list[str]) -> DataFra
     return outlines.select(*PAGE, *keys).join(found, [*PAGE, *keys], "left").withColumnRenamed("text", "caption").withColumn("caption", F.coalesce("caption", F.lit("")))
 
 
+def words(glyphs: DataFrame, gap: float = 3.0) -> DataFrame:
+    """Words of each page with their boxes: a blank, or a step of more than ``gap`` to the right or between lines, ends one."""
+    order = Window.partitionBy(*PAGE).orderBy("seq")
+    blank = F.trim("ch") == ""
+    apart = (F.col("x0") - F.lag("x1").over(order) > gap) | (F.abs(F.col("y0") - F.lag("y0").over(order)) > gap) | (F.trim(F.lag("ch").over(order)) == "")
+    marked = glyphs.withColumns({"blank": blank, "fresh": F.coalesce(apart, F.lit(True)).cast("int")})
+    numbered = marked.withColumn("word", F.sum("fresh").over(order)).where("not blank")
+    return numbered.groupBy(*PAGE, "word").agg(in_order().alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def snapped(values: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Sessions of values (keys, value, n) that follow one another within ``tolerance``: keys, first, mean and n."""
+    order = Window.partitionBy(*keys).orderBy("value")
+    fresh = F.coalesce(F.col("value") - F.lag("value").over(order) > tolerance, F.lit(True)).cast("int")
+    marked = values.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order))
+    return marked.groupBy(*keys, "session").agg(F.min("value").alias("first"), F.avg("value").alias("mean"), F.sum("n").alias("n")).drop("session")
+
+
+def word_edges(found: DataFrame, scale: int = 6, tolerance: float = 3.0, least: int = 3) -> DataFrame:
+    """Candidate rules of a page in pixels: pdf_id, page, kind (h or v), position. found: see ``words``.
+
+    Rows part at tops and bottoms of lines, columns where ``least`` words or more begin, and at the
+    right of them all; positions within the tolerance are one.
+    """
+    ends = found.select(*PAGE, F.explode(F.array("y0", "y1")).alias("value")).groupBy(*PAGE, "value").agg(F.count("*").alias("n"))
+    rows = snapped(ends, PAGE, tolerance).select(*PAGE, F.lit("h").alias("kind"), F.col("mean").alias("at"))
+    starts = found.groupBy(*PAGE, F.col("x0").alias("value")).agg(F.count("*").alias("n"))
+    columns = snapped(starts, PAGE, tolerance).where(F.col("n") >= least).select(*PAGE, F.lit("v").alias("kind"), F.col("first").alias("at"))
+    right = found.groupBy(*PAGE).agg(F.max("x1").alias("at")).select(*PAGE, F.lit("v").alias("kind"), "at")
+    return rows.union(columns).union(right).select(*PAGE, "kind", (F.col("at").cast("int") * scale).alias("position"))
+
+
 # ---- profiles ---------------------------------------------------------------------------
 
 

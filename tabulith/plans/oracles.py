@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabulith.functions import papers as fp
-from tabulith.functions.cells import BY_PATTERN, BY_WORD, COLUMNS, CONFUSED, ENCODED, HEADERS, ISOTOPE_PAPER, NO_BACKSLASH, RATIO, REGION, SIGMA, SUBTECTONIC, TECTONIC, sm_nd_pattern
+from tabulith.functions.cells import BY_PATTERN, BY_WORD, COLUMNS, CONFUSED, DEGREES, ENCODED, HEADERS, ISOTOPE_PAPER, NO_BACKSLASH, RATIO, REGION, SIGMA, SUBTECTONIC, TECTONIC, sm_nd_pattern
 from tabulith.functions.text import BLANKS, DIGITS, PUNCTUATION
 from tabulith.plans.fixtures import LITHOLOGIES, PAGE_H, PLUTONS, TERMS, ctes
 
@@ -212,6 +212,16 @@ PAGE_AREAS = "page_areas AS (SELECT pdf_id, page, table_id, x0 * width AS x0, y0
 INSIDE = "g.x0 >= a.x0 AND g.x1 <= a.x1 AND g.y0 >= a.y0 AND g.y1 <= a.y1"
 STRICTLY = "g.x0 > a.x0 AND g.x1 < a.x1 AND g.y0 > a.y0 AND g.y1 < a.y1"
 SHRUNK = "g AS (SELECT pdf_id, page, seq, ch, x0 + 0.25 * (x1 - x0) AS x0, y0 + 0.25 * (y1 - y0) AS y0, x1 - 0.25 * (x1 - x0) AS x1, y1 - 0.25 * (y1 - y0) AS y1 FROM glyphs)"
+WORDS = """m AS (SELECT *, CASE WHEN lag(x1) OVER o IS NULL OR x0 - lag(x1) OVER o > 3 OR abs(y0 - lag(y0) OVER o) > 3 OR trim(lag(ch) OVER o) = '' THEN 1 ELSE 0 END AS fresh FROM glyphs WINDOW o AS (PARTITION BY pdf_id, page ORDER BY seq)),
+words AS (SELECT pdf_id, page, string_agg(ch, '' ORDER BY seq) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY pdf_id, page ORDER BY seq) AS word FROM m) WHERE trim(ch) <> '' GROUP BY pdf_id, page, word)"""
+
+
+def sessions(values: str) -> str:
+    return f"""(SELECT pdf_id, page, min(value) AS first, avg(value) AS mean, sum(n) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY pdf_id, page ORDER BY value) AS session
+  FROM (SELECT *, CASE WHEN value - lag(value) OVER (PARTITION BY pdf_id, page ORDER BY value) <= 3 THEN 0 ELSE 1 END AS fresh FROM ({values}))) GROUP BY pdf_id, page, session)"""
+
+
 PROFILE = "profile AS (SELECT pdf_id, page, (y0 / 12)::INT AS y, count(*) FILTER (ch IN ('g', 'l', 'u')) AS ink FROM glyphs GROUP BY ALL)"
 SEPARATORS = """separators AS (SELECT pdf_id, page, min(y) AS start, count(*) AS n, floor(min(y) + 0.5 * (count(*) - 1) + 0.5)::INT AS y
   FROM (SELECT *, y - row_number() OVER (PARTITION BY pdf_id, page ORDER BY y) AS island FROM profile WHERE ink <= 1) GROUP BY pdf_id, page, island)"""
@@ -298,6 +308,13 @@ best AS (SELECT a.*, w.x0 AS gx, w.y0 AS gy, place, (a.y0 - w.y0) / page_h AS fa
 scan AS (SELECT pdf_id, page, table_id, x0 - greatest(x0 - gx, 0) AS x0, gy AS y0, x1 + greatest(x0 - gx, 0) AS x1, y0 AS y1 FROM best WHERE place > 0 AND far < 0.2 AND (abs(x0 - gx) / page_w < 0.1 OR (x0 < gx AND gx < x1))),
 t AS (SELECT a.pdf_id, a.page, a.table_id, string_agg(g.ch, '' ORDER BY g.seq) AS text FROM scan a JOIN g ON a.pdf_id = g.pdf_id AND a.page = g.page AND {INSIDE} GROUP BY ALL)
 SELECT pdf_id, page, table_id, coalesce(text, '') AS caption FROM page_areas LEFT JOIN t USING (pdf_id, page, table_id)""",
+        "word_boxes": f"{g}, {WORDS} SELECT * FROM words",
+        "word_edges": f"""{g}, {WORDS}
+SELECT pdf_id, page, 'h' AS kind, trunc(mean)::INT * 6 AS position FROM {sessions("SELECT pdf_id, page, value, count(*) AS n FROM (SELECT pdf_id, page, unnest([y0, y1]) AS value FROM words) GROUP BY ALL")}
+UNION ALL SELECT pdf_id, page, 'v', trunc(first)::INT * 6 FROM {sessions("SELECT pdf_id, page, x0 AS value, count(*) AS n FROM words GROUP BY ALL")} WHERE n >= 3
+UNION ALL SELECT pdf_id, page, 'v', trunc(max(x1))::INT * 6 FROM words GROUP BY pdf_id, page""",
+        "coordinate_cells": f"""SELECT l_suppkey, count(*) FILTER ({filled("value")} AND {found("value", DEGREES)}) AS coordinates, count(*) FILTER (contains(lower(value), 'sample')) AS samples
+FROM (SELECT l_suppkey, CASE WHEN l_orderkey % 3 = 0 THEN 'No ' ELSE '' END || (l_partkey % 180) || CASE WHEN l_orderkey % 5 = 0 THEN '(cid:6)' ELSE '°' END || (l_orderkey % 60) || '′' || CASE WHEN l_partkey % 4 = 0 THEN ' SAMPLE' ELSE (l_partkey % 60) || '″N' END AS value FROM lineitem) GROUP BY l_suppkey""",
         "rotate_boxes": f"{ctes('sheets', 'areas')} SELECT pdf_id, page, direction, {turned} FROM {d}",
         "shrink_boxes": f"{ctes('sheets', 'areas')} SELECT pdf_id, page, x0 + 0.25 * (x1 - x0) AS x0, y0 + 0.25 * (y1 - y0) AS y0, x1 - 0.25 * (x1 - x0) AS x1, y1 - 0.25 * (y1 - y0) AS y1 FROM areas",
         "flip_boxes": f"{ctes('sheets', 'areas')}, {PAGE_AREAS} SELECT pdf_id, page, x0, {PAGE_H}::DOUBLE - y1 AS y0, x1, {PAGE_H}::DOUBLE - y0 AS y1 FROM page_areas",

@@ -110,6 +110,14 @@ def numeric_cell_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.cells(spark, sf_dir).where(fc.is_value(F.col("value")))
 
 
+@query
+def coordinate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier: how many coordinates, and how many sample headers, its lines spell."""
+    shown = "CASE WHEN l_orderkey % 3 = 0 THEN 'No ' ELSE '' END || CAST(l_partkey % 180 AS STRING) || CASE WHEN l_orderkey % 5 = 0 THEN '(cid:6)' ELSE '°' END || CAST(l_orderkey % 60 AS STRING) || '′' || CASE WHEN l_partkey % 4 = 0 THEN ' SAMPLE' ELSE CAST(l_partkey % 60 AS STRING) || '″N' END"
+    lines = fx.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", f"{shown} AS value")
+    return lines.groupBy("l_suppkey").agg(F.count_if(fc.is_coordinate(F.col("value"))).alias("coordinates"), F.count_if(fc.names_sample(F.col("value"))).alias("samples"))
+
+
 @query
 def uncertainty_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio, sigma = fc.split_uncertainty(F.col("value"), F.lit(""))
@@ -290,6 +298,16 @@ def caption_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.captions(fx.glyphs(spark, sf_dir), _page_areas(spark, sf_dir), ["table_id"])
 
 
+@query
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.words(fx.glyphs(spark, sf_dir)).drop("word")
+
+
+@query
+def word_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.word_edges(layout.words(fx.glyphs(spark, sf_dir)))
+
+
 @query
 def rotate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.element_at(F.array(*map(F.lit, ("up", "left", "down", "right"))), (F.col("pdf_id") % 4 + 1).cast("int"))
