@@ -114,6 +114,15 @@ def test_area_text_and_spaces(spark):
     assert spaced.first().text == "abc def"
 
 
+def test_words_and_their_edges(spark):
+    rows = [g for k in range(3) for g in line("ab cd", y=100.0 + 20 * k, seq=5 * k)]
+    found = layout.words(spark.createDataFrame(rows, GLYPH))
+    assert sorted((r.text, r.x0, r.y0) for r in found.collect()) == sorted((t, x, 100.0 + 20 * k) for k in range(3) for t, x in (("ab", 10.0), ("cd", 28.0)))
+    edges = layout.word_edges(found).collect()
+    assert sorted(e.position for e in edges if e.kind == "v") == [60, 168, 39 * 6]
+    assert sorted(e.position // 6 for e in edges if e.kind == "h") == [100, 110, 120, 130, 140, 150]
+
+
 def test_captions_need_an_anchor_that_is_near(spark):
     glyphs = spark.createDataFrame(line("x Table 1. Rocks", y=80.0), GLYPH)
     near, far = (1, 0, 1, 20.0, 100.0, 200.0, 300.0), (1, 0, 2, 20.0, 400.0, 200.0, 500.0)
