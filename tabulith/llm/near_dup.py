@@ -267,7 +267,7 @@ def classes(docs: DataFrame) -> DataFrame:
     ranked = member.select("key", "n", "band", "hash").join(degree, "key")
     hubs = ranked.groupBy("band", "hash").agg(F.max(F.struct("degree", "key")).alias("hub"), F.min("n").alias("least")).select("band", "hash", F.col("hub.key").alias("hub"), "least")
     member = staged(member.select("key", "n", "band", "hash").join(hubs, ["band", "hash"]).where("key <> hub"), "neardup-buckets")
-    stars = staged(member.groupBy(F.col("key").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("times")), "neardup-stars")
+    stars = staged(member.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), "neardup-stars")
     # shingle sets of texts in shared buckets, through a bitmap over the first row's hash
     wanted = staged(stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct(), "neardup-wanted")
     texts = wanted.join(nodes, "key").select(F.col("first.text_hash").alias("h"))
@@ -279,19 +279,15 @@ def classes(docs: DataFrame) -> DataFrame:
         bits[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(r.bits, dtype=np.uint8)
     found = read.where("text is not null").select("text_hash", "text").mapInArrow(_set_rows(bits), "key binary, elements binary")
     sets = staged(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "neardup-sets")
-    # each text against the hub that it shares most bands with, then against its other hubs outside its component
-    best = stars.groupBy("a").agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    known = compared(best, sets)
+    # each text against all its hubs
+    known = compared(stars, sets)
     labels = components(known.where("linked"))
     label = lambda k: F.coalesce(F.col(f"{k}_label"), F.col(k))
     named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
-    rest = named(named(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), "a"), "b").where(label("a") != label("b")).select("a", "b")
-    known = known.union(compared(rest, sets))
-    labels = components(known.where("linked"))
     # buckets whose members still lie in different components: those not settled by what they share with the hub
     facts = known.select(F.col("a").alias("key"), F.col("b").alias("hub"), "common", "linked")
-    left = member.join(facts, ["key", "hub"], "left").where("linked is null or linked or common >= 0.8 * (n + least - common) - 1e-9")
-    left = left.select("band", "hash", F.col("key").alias("a"), "n", F.coalesce("common", "n").alias("i"))
+    left = member.join(facts, ["key", "hub"]).where("linked or common >= 0.8 * (n + least - common) - 1e-9")
+    left = left.select("band", "hash", F.col("key").alias("a"), "n", F.col("common").alias("i"))
     left = named(left, "a").select("band", "hash", "a", label("a").alias("l"), "n", "i", F.floor(F.log(F.col("n")) / math.log(1.25)).alias("size"))
     torn = left.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("band", "hash")
     left = staged(left.join(torn, ["band", "hash"]), "neardup-left")
