@@ -206,13 +206,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     picked = [one.where(F.col("y") == c).orderBy(order, "doc_id").limit(ROWS_A_CLASS) for c in (0, 1)]
     picked = F.broadcast(picked[0].union(picked[1]))  # 2 * ROWS_A_CLASS rows at most
     rows = docs.select("doc_id", *[c.alias(n) for c, n in zip(_inputs(), ("text", "source", "lang", "n_chars"), strict=True)])
-    ours = rows.join(picked, "doc_id")
-    # hashes are uniform, so a part of their range holds about twice the pool; the limit cuts it to the first by hash
+    measured = lambda df, *more: df.select("doc_id", seen(*_inputs()).alias("seen"), *more)
+    ours = measured(rows.join(picked, "doc_id"), "y")
+    # hashes are uniform, so a part of their range holds about twice the pool; the limit cuts it to the first by hash,
+    # and what is sorted are measures, not texts
     width = 1 << 64
     top = -(1 << 63) + min(width - 1, int(width * min(1.0, 2.0 * POOL / max(1, docs.count()))))
-    chosen = rows.where(order <= F.lit(top)).join(picked.select("doc_id"), "doc_id", "left_anti").orderBy(order, F.xxhash64("text")).limit(POOL)
-    both = ours.unionByName(chosen.withColumn("y", F.lit(None).cast("int")))
-    got = both.select("doc_id", "y", seen(*_inputs()).alias("seen")).collect()
+    near = measured(rows.where(order <= F.lit(top)).join(picked.select("doc_id"), "doc_id", "left_anti"), F.xxhash64("text").alias("text_hash"))
+    chosen = near.orderBy(order, "text_hash").limit(POOL).select("doc_id", "seen", F.lit(None).cast("int").alias("y"))
+    got = ours.unionByName(chosen).collect()
     got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.y is None, r.y or 0, r.seen.measures))
     arrays = lambda some: (np.array([r.seen.measures for r in some]).reshape(len(some), KINDS + 9), np.array([r.seen.places for r in some], dtype=np.int64).reshape(len(some), 3))
     known = sorted((r for r in got if r.y is not None), key=lambda r: zlib.crc32(str(r.doc_id).encode()))
