@@ -13,11 +13,10 @@ more, but not in proportion. A shorter text is one shingle.
 3. Registers form BANDS bands of ROWS; nodes that share a band are candidates. In each bucket
    all are compared with its hub, the member with most neighbours: a star, never all pairs.
 4. Candidates are verified by the exact Jaccard of their shingle sets, 0.8 or more; links form
-   components. A member that shares i elements with its hub can't be similar to any other by
-   what both share with the hub unless i / (n + least - i) >= 0.8, where n is its size and
-   least the smallest size of the bucket; members below that are settled in this bucket (what
-   two of them share beside the hub puts them into buckets without it). Of those left, pairs
-   in different components are verified too.
+   components. Members of a bucket that lie in different components are verified too, unless
+   what they share with the hub rules that out: sets of n and o elements, i and j of them in the
+   hub's, have at most min(i, j) + min(n - i, o - j) in common. Of two such members one at least
+   is outside the bucket's commonest component, so that one is never paired with itself.
 
 Shingle sets are computed only for texts in some shared bucket: a bitmap of bounded size
 (MAX_BITS) tells which texts to skip; a false hit costs work, never a result.
@@ -284,17 +283,17 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(known.where("linked"))
     label = lambda k: F.coalesce(F.col(f"{k}_label"), F.col(k))
     named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
-    # buckets whose members still lie in different components: those not settled by what they share with the hub
-    facts = known.select(F.col("a").alias("key"), F.col("b").alias("hub"), "common", "linked")
-    left = member.join(facts, ["key", "hub"]).where("linked or common >= 0.8 * (n + least - common) - 1e-9")
-    left = left.select("band", "hash", F.col("key").alias("a"), "n", F.col("common").alias("i"))
+    # buckets whose members still lie in different components
+    facts = known.select(F.col("a").alias("key"), F.col("b").alias("hub"), "common")
+    left = member.join(facts, ["key", "hub"]).select("band", "hash", F.col("key").alias("a"), "n", F.col("common").alias("i"))
     left = named(left, "a").select("band", "hash", "a", label("a").alias("l"), "n", "i", F.floor(F.log(F.col("n")) / math.log(1.25)).alias("size"))
-    torn = left.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("band", "hash")
+    torn = left.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.mode("l").alias("most")).where("x <> y").select("band", "hash", "most")
     left = staged(left.join(torn, ["band", "hash"]), "neardup-left")
     # similar sets have sizes of a ratio of 0.8 at least, so they lie in the same or in neighbouring size classes
     other = left.select("band", "hash", F.col("a").alias("b"), F.col("l").alias("m"), F.col("n").alias("o"), F.col("i").alias("j"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    able = "a < b and l <> m and least(i, j) >= 0.8 * (n + o - least(i, j)) - 1e-9"
-    rest = left.join(other, ["band", "hash", "size"]).where(able).select("a", "b").distinct()
+    shared_at_most = "(least(i, j) + least(n - i, o - j))"
+    able = f"l <> m and (m = most or a < b) and {shared_at_most} >= 0.8 * (n + o - {shared_at_most}) - 1e-9"
+    rest = left.where("l <> most").join(other, ["band", "hash", "size"]).where(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = compared(rest, sets).where("linked")
     if more.limit(1).count():

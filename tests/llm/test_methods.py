@@ -83,6 +83,20 @@ def test_classes_are_those_of_all_pairs(spark):
     assert {x.doc_id: x.class_id for x in near_dup.classes(df).collect()} == brute_classes(rows)
 
 
+def test_near_copies_on_a_template_that_many_share(spark):
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    template = words(176)
+    rows = [(i, " ".join(template + words(28))) for i in range(120)]
+    for k in range(60):  # two that share a little more than the template, so that their similarity is just above 0.8
+        tail = words(28)
+        rows += [(1000 + 2 * k, " ".join(template + tail)), (1001 + 2 * k, " ".join(template + tail[: 6 + k % 4] + words(22 - k % 4)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert sum(want[1001 + 2 * k] == 1000 + 2 * k for k in range(60)) == 60
+    assert {x.doc_id: x.class_id for x in near_dup.classes(df).collect()} == want
+
+
 # ---- 2 ----------------------------------------------------------------------------------
 
 
