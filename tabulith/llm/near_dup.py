@@ -10,8 +10,10 @@ more, but not in proportion. A shorter text is one shingle.
    (the plain Jaccard where weights are equal). Arrivals beyond a time at which all registers
    are filled can't matter, so generation stops there (early termination).
 2. Texts with equal word sequences are one node, so large groups of copies vanish here.
-3. Registers form BANDS bands of ROWS; nodes that share a band are candidates. In each bucket
-   all are compared with its hub, the member with most neighbours: a star, never all pairs.
+3. Registers form BANDS bands of ROWS; nodes that share a band are candidates. A text with
+   repeated elements is banded by registers of unit weights too, in the same buckets, so that
+   candidates are found by the measure that links are verified by, whatever is repeated. In each
+   bucket all are compared with its hub, the member with most neighbours.
 4. Candidates are verified by the exact Jaccard of their shingle sets, 0.8 or more; links form
    components. Members of a bucket that lie in different components are verified too, unless
    what they share with the hub rules that out: sets of n and o elements, i and j of them in the
@@ -162,6 +164,19 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+def band_hashes(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int) -> list[list[int | None]]:
+    """Of each text the hashes of its bands by unit weights, and, where elements repeat, those by its own weights that differ."""
+    plain = bands(signatures(owner, element, np.ones(len(weight)), texts)).view(np.int64)
+    out = plain.tolist()
+    again = np.unique(owner[weight > 1])
+    if len(again):
+        own = np.isin(owner, again)
+        more = bands(signatures(np.searchsorted(again, owner[own]), element[own], weight[own], len(again))).view(np.int64)
+        for i, w, p in zip(again.tolist(), more.tolist(), plain[again].tolist(), strict=True):
+            out[i] += [x if x != y else None for x, y in zip(w, p, strict=True)]
+    return out
+
+
 def _grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about BATCH_BYTES characters."""
     lo, size = 0, 0
@@ -198,7 +213,7 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += _keys(words, counts)
             owner, element, weight = weighted(*shingles(words, counts))
             sizes += np.bincount(owner, minlength=hi - lo).tolist()
-            got = bands(signatures(owner, element, weight, hi - lo)).view(np.int64).tolist()
+            got = band_hashes(owner, element, weight, hi - lo)
             listed += [b if n else None for b, n in zip(got, counts.tolist(), strict=True)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "n", "bands"])
 
@@ -259,7 +274,8 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = staged(read.where("text is not null").mapInArrow(_signed_rows, f"doc_id {kind}, text_hash long, key binary, n long, bands array<long>"), "neardup-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = staged(rows.groupBy("key").agg(first.alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "neardup-nodes")
-    member = nodes.where("bands is not null").select("key", "n", F.posexplode("bands").alias("band", "hash"))
+    member = nodes.where("bands is not null").select("key", "n", F.posexplode("bands").alias("at", "hash"))
+    member = member.where("hash is not null").select("key", "n", F.expr(f"at % {BANDS}").alias("band"), "hash")
     shared = member.groupBy("band", "hash").agg(F.count("*").alias("members")).where("members > 1")
     member = staged(member.join(shared, ["band", "hash"]), "neardup-members")
     degree = member.groupBy("key").agg(F.sum("members").alias("degree"))

@@ -97,6 +97,19 @@ def test_near_copies_on_a_template_that_many_share(spark):
     assert {x.doc_id: x.class_id for x in near_dup.classes(df).collect()} == want
 
 
+def test_near_copies_with_repeated_lines(spark):
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(40):  # one of two repeats a line that the other lacks, or has once
+        body, line = words(104), words(15)
+        rows += [(2 * k, " ".join(body + line * (k % 2))), (2 * k + 1, " ".join(body + line * 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(40))
+    assert {x.doc_id: x.class_id for x in near_dup.classes(df).collect()} == want
+
+
 # ---- 2 ----------------------------------------------------------------------------------
 
 
