@@ -10,9 +10,9 @@ partial wrappers meet in two further rounds: a host with a third of all pages co
 one small tree.
 
 The finished wrapper of a host tells where the article is (an article or main element, else
-the element with most running text) and which places inside it are boilerplate: by element or
-class name, or because their text never changes although the article's does. A page that has
-no text at the wrapper's place gets a wrapper of its own.
+the element with most running text). Inside it only what an element or class name marks is
+boilerplate; text that all pages share stays, on a host of any size. A page that has no text at
+the wrapper's place gets a wrapper of its own.
 
 Null or empty html gives an empty text. Null urls form a host of their own. Repeated rows get
 equal results.
@@ -35,7 +35,6 @@ from tabulith.llm.common import staged
 SALTS = 16
 DEEPEST = 48  # deeper elements count as part of their ancestor in wrappers, never in extraction
 BROADCAST_BYTES = 32 << 20
-CONSTANT_FROM = 8  # pages of a host before an unchanging text counts as boilerplate
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -262,8 +261,7 @@ def _split(label: str) -> tuple[str, str]:
 
 
 def plan(w: list) -> dict:
-    """Where a wrapper's article is (a path of labels) and which paths inside it are boilerplate."""
-    pages = w[PAGES]
+    """Where a wrapper's article is: a path of labels."""
 
     def clean(node: list) -> int:
         """Running text: what is in no barred element, without link text."""
@@ -298,30 +296,12 @@ def plan(w: list) -> dict:
             if child is None or child[REPEATED] or size <= 0.6 * clean(node) or _split(child[LABEL])[0] in ("p", "h1", "h2", "li", "tr"):
                 break
             node, path = child, (*path, child[LABEL])
-    drop: list[tuple[str, ...]] = []
-
-    def constants(at: list, here: tuple[str, ...]) -> None:
-        for c in at[CHILDREN]:
-            if c[LABEL] == "#":
-                continue
-            own = (*here, c[LABEL])
-            texts = [x for x in c[CHILDREN] if x[LABEL] == "#"]
-            fixed = texts and len(texts) == len(c[CHILDREN]) and all(x[CONSTANT] is not None for x in texts)
-            if fixed and not c[REPEATED] and c[PAGES] >= CONSTANT_FROM and 2 * c[PAGES] >= pages and _split(c[LABEL])[0] not in ("h1", "title"):
-                drop.append(own)
-            constants(c, own)
-
-    def varies(at: list) -> bool:
-        return (at[LABEL] == "#" and at[CONSTANT] is None) or any(map(varies, at[CHILDREN]))
-
-    if varies(node):
-        constants(node, path)
-    return {"main": list(path), "drop": [list(d) for d in drop]}
+    return {"main": list(path)}
 
 
 def extract(page: Node, where: dict) -> str:
     """The article's blocks in page order, one a line."""
-    main, drop = tuple(where["main"]), {tuple(d) for d in where["drop"]}
+    main = tuple(where["main"])
     lines: list[str] = []
     texts: list[str] = []
 
@@ -351,7 +331,7 @@ def extract(page: Node, where: dict) -> str:
         flush()
         if inside and len(path) >= len(main):
             heading = part.tag == "header" and "article" in (p.split(".")[0] for p in path)
-            if here in drop or (barred(part.tag, part.names) and not heading):
+            if barred(part.tag, part.names) and not heading:
                 continue
         elif len(here) <= len(main) and here != main[: len(here)]:
             continue

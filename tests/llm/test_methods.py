@@ -400,3 +400,11 @@ def test_wrappers_generalise_and_do_not_depend_on_the_cut(spark):
     want = {i: "Head\n" + "\n".join(f"text {i} {k} with some words" for k in range(1 + i % 3)) for i, _, _ in pages}
     for parts in (1, 7):
         assert {r.row.page_id: r.text for r in wrapper.main_texts(df.repartition(parts)).collect()} == want
+
+
+@pytest.mark.parametrize("n", [7, 8, 24])
+def test_what_all_pages_of_a_host_share_stays_in_the_article(spark, n):
+    pages = [(i, f"http://h.example/{i}", page(f"<p>By the editors</p><h2>Part {i}</h2><p>text {i} one</p><p>text {i} two</p>")) for i in range(n)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: f"Head\nBy the editors\nPart {i}\ntext {i} one\ntext {i} two" for i in range(n)}
+    assert {r.row.page_id: r.text for r in wrapper.main_texts(df).collect()} == want
