@@ -256,17 +256,17 @@ def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 def learn(docs: DataFrame, label: str = "lang") -> Model:
     """Fit and calibrate on rows of docs with text and label.
 
-    Only the bounded sample reaches the driver: the first DOCS_A_LANG + CALIBRATION_DOCS rows of
-    each language in hash order, and of a text at most the characters that the sample still needs.
+    Only the bounded sample reaches the driver: the first DOCS_A_LANG + CALIBRATION_DOCS distinct
+    texts of each language in hash order (a range of hashes that holds about twice as many), and of a text at most the characters that the sample still needs.
     """
     n = DOCS_A_LANG + CALIBRATION_DOCS
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
     # the smallest hashes of each language, by a partial aggregate and not by a sort of the whole group
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    counts = rows.groupBy("lang").agg(F.countDistinct("h").alias("n")).limit(MAX_LANGS + 1).collect()
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    # hashes are uniform, so a fraction of their range holds the wanted number; repeated texts share a hash
+    # hashes are uniform, so a fraction of their range holds the wanted number of distinct texts; copies share a hash
     width = 1 << 64
     at = {r.lang: -(1 << 63) + min(width - 1, int(width * min(1.0, 2.0 * n / r.n))) for r in counts}
     near = F.lit(False)

@@ -368,6 +368,17 @@ def test_languages_of_held_out_rows(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got]) > 0.97
 
 
+def test_copies_do_not_shrink_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_A_LANG", 20)
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 10)
+    seen = {}
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda texts: seen.update(texts) or fit(texts))
+    rows = [("the same text again", "en")] * 5000 + [(f"some other text of number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(100)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == ["en"] and len(seen["en"]) == 20
+
+
 # ---- 10 ---------------------------------------------------------------------------------
 
 
