@@ -6,8 +6,8 @@ counts in the two classes, and a logistic regression with L2 penalty is fitted o
 features that tell the classes apart best.
 
 The fit uses at most ROWS_A_CLASS labelled documents of each class, the first by hash of
-doc_id, and of each at most FIT_CHARS characters: that is the documented bound of the sample.
-Scoring reads every text whole and needs only the text. A null or empty text has no feature
+doc_id: that is the documented bound of the sample. Their texts are read whole, where they lie:
+only counts of n-grams and each document's chosen features reach the driver. Scoring reads every text whole and needs only the text. A null or empty text has no feature
 and gets the intercept's score. Without labels of both classes every score is the class share.
 """
 
@@ -21,13 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulith.llm.common import staged
+from tabulith.llm.near_dup import _grouped
+
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 3000
 ROWS_A_CLASS = 2000
-FIT_CHARS = 50_000
 PENALTY = 0.1
 ROUNDS = 200
+FIT_TASKS = 8  # each sends two counts for every hashed feature
 SLICE = 1 << 20
 
 _folded: list[np.ndarray] = []
@@ -55,7 +58,7 @@ def grams(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
     held = 0
 
     def flush() -> None:
-        nonlocal parts, owners, held
+        nonlocal pairs, parts, owners, held
         if not parts:
             return
         x = np.concatenate(parts)
@@ -73,6 +76,8 @@ def grams(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarra
                     if wanted is not None:
                         fine &= wanted[f]
                     pairs.append(owner[: len(f)][fine].astype(np.int64) << BITS | f[fine])
+        if sum(map(len, pairs)) > 16 * SLICE:
+            pairs = [np.unique(np.concatenate(pairs))]
         parts, owners, held = [], [], 0
 
     step = max(ORDERS) - 1
@@ -131,55 +136,80 @@ def logistic(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.
     return w, b
 
 
-def fit(texts: list[str], labels: list[int], share: float | None = None) -> Linear:
-    """share: how many of all documents are of class 1, where the sample doesn't show that."""
-    y = np.array(labels, dtype=float)
-    weights = np.zeros(1 << BITS)
-    if not len(y) or y.min() == y.max():
-        p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Linear(weights, float(np.log(p / (1 - p))))
-    one, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for lo in range(0, len(texts), 64):  # counted a few texts at a time: all pairs at once would be large
-        owner, feature = grams(texts[lo : lo + 64])
-        every += np.bincount(feature, minlength=1 << BITS)
-        one += np.bincount(feature, weights=y[lo + owner], minlength=1 << BITS)
-    n1, n0 = y.sum(), len(y) - y.sum()
+def chosen_features(one: np.ndarray, every: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that tell the classes apart best, and the log count ratios of all; one and every are document counts."""
     ratio = np.log((one + 1) / (n1 + 2)) - np.log((every - one + 1) / (n0 + 2))
     # the features whose counts differ most beyond their expected spread
-    expected = every * n1 / len(y)
-    spread = np.abs(one - expected) / np.sqrt(np.maximum(expected * (1 - n1 / len(y)), 1e-9))
+    share = n1 / (n1 + n0)
+    expected = every * share
+    spread = np.abs(one - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
     spread[every < 3] = 0
-    chosen = np.sort(np.argsort(-spread, kind="stable")[:FEATURES])
-    wanted = np.zeros(1 << BITS, dtype=bool)
-    wanted[chosen] = True
-    owner, feature = grams(texts, wanted)
-    column = np.searchsorted(chosen, feature)
-    starts = np.searchsorted(owner, np.arange(len(y) + 1))
-    w, b = logistic(starts, column, ratio[chosen][column], y, len(chosen))
-    weights[chosen] = w * ratio[chosen]
-    if share is not None:  # the sample is even between the classes, the documents are not
-        share = float(np.clip(share, 1e-4, 1 - 1e-4))
-        b += np.log(share / (1 - share)) - np.log(n1 / n0)
-    return Linear(weights, b)
+    return np.sort(np.argsort(-spread, kind="stable")[:FEATURES]), ratio
+
 
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a task's texts, in how many of class 1 and of all each feature is."""
+    one, every = (np.zeros(1 << BITS, dtype=np.uint16) for _ in range(2))  # a sample has fewer documents than 2 ** 16
+    for f in frames:
+        texts, y = [t or "" for t in f["text"]], f["y"].to_numpy()
+        for lo, hi in _grouped(texts):
+            owner, feature = grams(texts[lo:hi])
+            every += np.bincount(feature, minlength=1 << BITS).astype(np.uint16)
+            one += np.bincount(feature[y[lo + owner] == 1], minlength=1 << BITS).astype(np.uint16)
+    yield pd.DataFrame({"one": [one.tobytes()], "every": [every.tobytes()]})
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_A_CLASS) -> tuple[list[str], list[int], float | None]:
-    """Texts and labels of at most ``rows`` documents of each class, the first by a hash of doc_id, and the share of class 1.
 
-    Of repeated labels the highest counts.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_A_CLASS) -> tuple[DataFrame, float | None]:
+    """(doc_id, y, text) of at most ``rows`` documents of each class, the first by a hash of doc_id, and the share of class 1.
+
+    Of repeated labels the highest counts, of repeated documents the text of the smallest hash.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     share = one.agg(F.avg("y")).first()[0]
     classes = [one.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     picked = classes[0].union(classes[1])  # 2 * rows at most, so it may be broadcast
-    # sorted here: the sums of the fit then don't depend on the order in which rows arrive
-    found = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, FIT_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").limit(4 * rows).collect()
-    found = sorted((r.doc_id, r.text or "", r.y) for r in found)
-    return [t for _, t, _ in found], [y for _, _, y in found], share
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "y").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("of"))
+    return staged(found.select("doc_id", "y", "of.text"), "toxicity-sample"), share
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Linear:
-    return fit(*sampled(docs, labels, label))
+    """Of the sample the executors see texts; the driver gets counts, and features among FEATURES of each document."""
+    sample, share = sampled(docs, labels, label)
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    weights = np.zeros(1 << BITS)
+    if not n1 or not n0:
+        p = float(np.clip(n1 / (n1 + n0), 0.01, 0.99)) if sizes else 0.5
+        return Linear(weights, float(np.log(p / (1 - p))))
+    sample = sample.coalesce(FIT_TASKS)
+    counts = sample.select("text", "y").mapInPandas(_counted, "one binary, every binary").collect()
+    total = lambda k: sum(np.frombuffer(r[k], dtype=np.uint16).astype(np.float64) for r in counts)
+    chosen, ratio = chosen_features(total("one"), total("every"), n1, n0)
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[chosen] = True
+    shared = sample.sparkSession.sparkContext.broadcast(wanted)
+
+    @F.pandas_udf("binary")
+    def features(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in parts:
+            out = []
+            texts = [x or "" for x in t]
+            for lo, hi in _grouped(texts):
+                owner, feature = grams(texts[lo:hi], shared.value)
+                out += [x.astype(np.int32).tobytes() for x in np.split(feature, np.searchsorted(owner, np.arange(1, hi - lo)))]
+            yield pd.Series(out, dtype=object)
+
+    # sorted: the sums of the fit then don't depend on the order in which rows arrive
+    found = sorted(sample.select("doc_id", "y", features("text").alias("features")).collect(), key=lambda r: r.doc_id)
+    rows = [np.frombuffer(r.features, dtype=np.int32) for r in found]
+    column = np.searchsorted(chosen, np.concatenate(rows))
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    w, b = logistic(starts, column, ratio[chosen][column], np.array([r.y for r in found], dtype=float), len(chosen))
+    weights[chosen] = w * ratio[chosen]
+    # the sample is even between the classes, the documents are not
+    share = float(np.clip(share, 1e-4, 1 - 1e-4))
+    return Linear(weights, b + np.log(share / (1 - share)) - np.log(n1 / n0))
 
 
 def scorer(spark, model: Linear):

@@ -173,6 +173,21 @@ def test_grams_by_slices_are_those_of_the_whole(monkeypatch):
     assert [x.tolist() for x in toxicity.grams(texts)] == whole
 
 
+def test_a_label_is_learned_from_the_whole_text(spark):
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(40):
+        clean = " ".join(r.choice(("river", "stone", "garden", "window", "letter", "morning")) for _ in range(9000))
+        assert len(clean) > 50_000
+        rows.append((i, clean + (" you vile wretched scum" if i % 2 else " you kind old friend")))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = model.scores(["vile wretched scum", "kind old friend"])
+    assert scores[0] > 0.8 and scores[1] < 0.2
+    assert np.all((model.scores([t for _, t in rows]) >= 0.5) == [y for _, y in labels])
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(1)
     n = 3000
