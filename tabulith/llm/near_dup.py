@@ -15,17 +15,23 @@ more, but not in proportion. A shorter text is one shingle.
    candidates are found by the measure that links are verified by, whatever is repeated. In each
    bucket all are compared with its hub, the member with most neighbours.
 4. Candidates are verified by the exact Jaccard of their shingle sets, 0.8 or more; links form
-   components. Members of a bucket that lie in different components are verified too, unless
-   what they share with the hub rules that out: sets of n and o elements, i and j of them in the
-   hub's, have at most min(i, j) + min(n - i, o - j) in common. Of two such members one at least
-   is outside the bucket's commonest component, so that one is never paired with itself.
-
-Shingle sets are computed only for texts in some shared bucket: a bitmap of bounded size
-(MAX_BITS) tells which texts to skip; a false hit costs work, never a result.
+   components.
+5. A bucket is torn if a member's component is not its hub's. Members of torn buckets are joined
+   exactly, by prefixes: all elements stand in one order, rare ones first; two sets of n and o
+   elements whose first common element is at places p and q share at most min(n - p, o - q), so
+   similar sets meet in an element that comes early in both. Only pairs of different components
+   are formed, and each has a member outside its hub's component, so a linked crowd, however
+   large, is never paired with itself, and neither are texts that differ from each other in
+   elements of their own. The order comes from a table of counts of bounded size (MAX_CELLS);
+   elements that share a cell make more work, never another result.
+
+Shingle sets are computed only for one row of each text in some shared bucket: a bitmap of
+bounded size (MAX_BITS) tells which rows to skip; a false hit costs work, never a result.
 
 Result: one row per document with class_id, the smallest doc_id of its component. A null text
 is a class of its own, as is any text that nothing resembles; texts without words are copies
-of one another. Null ids sort last. Repeated rows fall into one class.
+of one another. Null ids sort last. Repeated rows fall into one class. Texts of any length count
+whole. An empty table gives an empty result. Other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -47,6 +53,7 @@ M = BANDS * ROWS
 SLACK = 4.0
 BATCH_BYTES = 1 << 21
 MAX_BITS = 1 << 28
+MAX_CELLS = 1 << 22
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -233,21 +240,81 @@ def _set_rows(bits: np.ndarray):
     return run
 
 
+def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(e, dtype=np.uint64) for e in batch.column("elements").to_pylist()]
+
+
+def _cells(element: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed(element) & _U(cells - 1)).astype(np.int64)
+
+
+def _cell_rows(cells: int):
+    """How many sets of a batch have an element in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, n = np.unique(_cells(np.concatenate([np.zeros(0, dtype=np.uint64), *_sets(batch)]), cells), return_counts=True)
+            yield pa.record_batch([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    return run
+
+
+def _prefix_rows(levels: np.ndarray):
+    """The elements by which a set can meet a similar one, with their places in the common order; those that no other set has are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, found = [], [], []
+            for i, e in enumerate(_sets(batch)):
+                level = levels[_cells(e, len(levels))]
+                first = np.lexsort((e, level))[: int((1 - THRESHOLD) * len(e) + 1e-6) + 1]
+                at = np.flatnonzero(level[first])
+                row.append(np.full(len(at), i))
+                place.append(at)
+                found.append(e[first[at]])
+            if row:
+                rows = np.concatenate(row)
+                n = np.array([len(e) // 8 for e in batch.column("elements").to_pylist()])
+                kept = batch.select(["key", "label", "apart"]).take(pa.array(rows))
+                yield pa.record_batch([*kept.columns, pa.array(n[rows]), pa.array(np.concatenate(place)), pa.array(np.concatenate(found).view(np.int64))], names=["key", "label", "apart", "n", "place", "element"])
+
+    return run
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = (batch.column(i).to_pylist() for i in (2, 3))
         sets = [(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)) for a, b in zip(one, two, strict=True)]
         common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets]
         linked = [c > 0 and c >= THRESHOLD * (len(a) + len(b) - c) - 1e-9 for c, (a, b) in zip(common, sets, strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked)], names=["a", "b", "common", "linked"])
+        yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the elements they have in common, and whether they are similar enough."""
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are similar enough."""
     one = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
     two = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb")
-    return staged(rows.mapInArrow(_common, "a binary, b binary, common long, linked boolean"), "neardup-compared")
+    return staged(rows.mapInArrow(_common, "a binary, b binary"), "neardup-linked")
+
+
+def joined(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (key, label, apart, elements) of different labels, one at least apart, that may be similar: no similar pair is missing."""
+    spark = sets.sparkSession
+    size = sets.agg(F.sum(F.octet_length("elements"))).first()[0] or 0
+    cells = min(MAX_CELLS, max(1 << 12, 1 << (size // 2).bit_length()))
+    counts = sets.select("elements").mapInArrow(_cell_rows(cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    level = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short")
+    found = counts.where("n > 1").select(F.col("cell").cast("int"), level.alias("level")).toArrow()
+    levels = np.zeros(cells, dtype=np.uint8)
+    levels[found.column("cell").to_numpy()] = found.column("level").to_numpy()
+    shared = spark.sparkContext.broadcast(levels)  # MAX_CELLS bytes at most
+    rows = sets.mapInArrow(lambda batches: _prefix_rows(shared.value)(batches), "key binary, label binary, apart boolean, n long, place long, element long")
+    rows = staged(rows, "neardup-prefixes")
+    one = rows.where("apart").select("element", F.col("key").alias("a"), F.col("label").alias("l"), "n", F.col("place").alias("p"))
+    two = rows.select("element", F.col("key").alias("b"), F.col("label").alias("m"), "apart", F.col("n").alias("o"), F.col("place").alias("q"))
+    able = f"l <> m and (not apart or a < b) and {1 + THRESHOLD} * least(n - p, o - q) >= {THRESHOLD} * (n + o) - 1e-6"
+    return one.join(two, "element").where(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,46 +341,40 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = staged(read.where("text is not null").mapInArrow(_signed_rows, f"doc_id {kind}, text_hash long, key binary, n long, bands array<long>"), "neardup-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = staged(rows.groupBy("key").agg(first.alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "neardup-nodes")
-    member = nodes.where("bands is not null").select("key", "n", F.posexplode("bands").alias("at", "hash"))
-    member = member.where("hash is not null").select("key", "n", F.expr(f"at % {BANDS}").alias("band"), "hash")
+    member = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("at", "hash"))
+    member = member.where("hash is not null").select("key", F.expr(f"at % {BANDS}").alias("band"), "hash")
     shared = member.groupBy("band", "hash").agg(F.count("*").alias("members")).where("members > 1")
     member = staged(member.join(shared, ["band", "hash"]), "neardup-members")
     degree = member.groupBy("key").agg(F.sum("members").alias("degree"))
-    ranked = member.select("key", "n", "band", "hash").join(degree, "key")
-    hubs = ranked.groupBy("band", "hash").agg(F.max(F.struct("degree", "key")).alias("hub"), F.min("n").alias("least")).select("band", "hash", F.col("hub.key").alias("hub"), "least")
-    member = staged(member.select("key", "n", "band", "hash").join(hubs, ["band", "hash"]).where("key <> hub"), "neardup-buckets")
+    ranked = member.select("key", "band", "hash").join(degree, "key")
+    hubs = ranked.groupBy("band", "hash").agg(F.max(F.struct("degree", "key")).alias("hub")).select("band", "hash", F.col("hub.key").alias("hub"))
+    member = staged(member.select("key", "band", "hash").join(hubs, ["band", "hash"]).where("key <> hub"), "neardup-buckets")
     stars = staged(member.select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), "neardup-stars")
-    # shingle sets of texts in shared buckets, through a bitmap over the first row's hash
+    # shingle sets of texts in shared buckets, of one row each through a bitmap
     wanted = staged(stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct(), "neardup-wanted")
-    texts = wanted.join(nodes, "key").select(F.col("first.text_hash").alias("h"))
+    texts = wanted.join(nodes, "key").select(F.xxhash64("first.doc_id", "first.text_hash").alias("h"))
     size = min(MAX_BITS, max(1 << 15, 1 << (16 * max(1, texts.count()) - 1).bit_length()))
     place = F.expr(f"(h & {size - 1})")
     maps = texts.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("bits")).collect()
     bits = np.zeros(size // 8, dtype=np.uint8)
     for r in maps:
         bits[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(r.bits, dtype=np.uint8)
-    found = read.where("text is not null").select("text_hash", "text").mapInArrow(_set_rows(bits), "key binary, elements binary")
-    sets = staged(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "neardup-sets")
+    found = read.where("text is not null").select(F.xxhash64("doc_id", "text_hash").alias("h"), "text").mapInArrow(_set_rows(bits), "key binary, elements binary")
+    sets = staged(found.groupBy("key").agg(F.first("elements").alias("elements")).join(wanted, "key", "left_semi"), "neardup-sets")
     # each text against all its hubs
-    known = compared(stars, sets)
-    labels = components(known.where("linked"))
-    label = lambda k: F.coalesce(F.col(f"{k}_label"), F.col(k))
-    named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
-    # buckets whose members still lie in different components
-    facts = known.select(F.col("a").alias("key"), F.col("b").alias("hub"), "common")
-    left = member.join(facts, ["key", "hub"]).select("band", "hash", F.col("key").alias("a"), "n", F.col("common").alias("i"))
-    left = named(left, "a").select("band", "hash", "a", label("a").alias("l"), "n", "i", F.floor(F.log(F.col("n")) / math.log(1.25)).alias("size"))
-    torn = left.groupBy("band", "hash").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.mode("l").alias("most")).where("x <> y").select("band", "hash", "most")
-    left = staged(left.join(torn, ["band", "hash"]), "neardup-left")
-    # similar sets have sizes of a ratio of 0.8 at least, so they lie in the same or in neighbouring size classes
-    other = left.select("band", "hash", F.col("a").alias("b"), F.col("l").alias("m"), F.col("n").alias("o"), F.col("i").alias("j"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    shared_at_most = "(least(i, j) + least(n - i, o - j))"
-    able = f"l <> m and (m = most or a < b) and {shared_at_most} >= 0.8 * (n + o - {shared_at_most}) - 1e-9"
-    rest = left.where("l <> most").join(other, ["band", "hash", "size"]).where(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = compared(rest, sets).where("linked")
-    if more.limit(1).count():
-        labels = components(known.where("linked").union(more))
+    links = linked(stars, sets)
+    labels = components(links)
+    # members of buckets where some member's component is not the hub's
+    named = lambda df, k: df.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label")), k, "left").withColumn(f"{k}_label", F.coalesce(f"{k}_label", k))
+    told = named(named(member, "key"), "hub").select("band", "hash", "key", F.col("key_label").alias("label"), (F.col("key_label") != F.col("hub_label")).alias("apart"))
+    told = staged(told, "neardup-told")
+    torn = told.join(told.where("apart").select("band", "hash").distinct(), ["band", "hash"], "left_semi")
+    torn = torn.groupBy("key").agg(F.first("label").alias("label"), F.max("apart").alias("apart"))
+    torn = staged(torn.join(sets, "key"), "neardup-torn")
+    if torn.limit(1).count():
+        more = linked(joined(torn), sets)
+        if more.limit(1).count():
+            labels = components(links.union(more))
     whole = nodes.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     heads = whole.groupBy("label").agg(F.min("first").alias("head"))
     named_nodes = whole.join(heads, "label").select("key", "head")
