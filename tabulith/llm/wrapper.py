@@ -9,13 +9,21 @@ operation for a page and for a wrapper, so tasks align their own pages of a host
 partial wrappers meet in two further rounds: a host with a third of all pages costs each task
 one small tree.
 
-The finished wrapper of a host tells where the article is (an article or main element, else
-the element with most running text). Inside it only what an element or class name marks is
-boilerplate; text that all pages share stays, on a host of any size. A page that has no text at
-the wrapper's place gets a wrapper of its own.
+The finished wrapper of a host tells where the article is: the element that holds most running
+text, where text in links counts against, and text that is the same on all pages little; element
+and class names (article, main) only lower the share that is asked for. Inside it an element is
+left out if its name marks it (the kinds of the contract), or if the wrapper shows a menu: links
+that are the same on all pages. Other text that all pages share stays, on a host of any size. A
+page that has no text at the wrapper's place gets a wrapper of its own.
+
+Wrappers are bounded: elements below DEEPEST count as part of their ancestor, an element of more
+than MOST_CHILDREN different children forgets their class names, and then has one repeated group
+for each tag. That widens the expression and drops no text.
 
 Null or empty html gives an empty text. Null urls form a host of their own. Repeated rows get
-equal results.
+equal results, as do equal pages of a host; long pages count whole; of elements with equal text
+the first, then the outer one is the article. An empty table gives an empty result. Other columns
+travel in ``row`` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +32,7 @@ import html as html_lib
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +42,9 @@ from pyspark.sql import functions as F
 from tabulith.llm.common import staged
 
 SALTS = 16
+MOST_CHILDREN = 128
+MENU_LINKS = 0.8  # of the characters of a menu are link text, at least
+CONSTANT_WEIGHT = 0.2  # of text that is the same on all pages, where the article is looked for
 DEEPEST = 48  # deeper elements count as part of their ancestor in wrappers, never in extraction
 BROADCAST_BYTES = 32 << 20
 
@@ -69,23 +81,28 @@ class Node:
 def parse(html: str) -> Node:
     """A tree of block elements; inline elements are part of the text, of which is known whether it stands in a link."""
     root = Node("#root")
-    stack: list[tuple[str, Node | None]] = [("#root", root)]  # every open element; inline ones have no node
+    # every open element: its tag, the block it belongs to or is, and how many links are open with it
+    stack: list[tuple[str, Node, int]] = [("#root", root, 0)]
+    opened: Counter[str] = Counter()
     top, links, at, n = root, 0, 0, len(html)
 
-    def settle() -> None:
-        nonlocal top, links
-        top = next(node for _, node in reversed(stack) if node is not None)
-        links = sum(t == "a" for t, _ in stack) if links else 0
-
     def close(tag: str, stop: tuple[str, ...] = ()) -> None:
+        nonlocal top, links
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
+                opened.subtract(t for t, _, _ in stack[i:])
                 del stack[i:]
-                settle()
+                _, top, links = stack[-1]
                 return
             if stack[i][0] in stop:
                 return
 
+    def push(tag: str) -> None:
+        stack.append((tag, top, links))
+        opened[tag] += 1
+
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -105,7 +122,7 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+            if tag in ("br", "p") and not opened[tag]:
                 top.parts.append((" ", False))
             close(tag, () if tag in BLOCKS else ("p", "li", "td", "th", "div", "article", "section", "body"))
             continue
@@ -135,10 +152,10 @@ def parse(html: str) -> Node:
             node = Node(tag, " ".join(names.split()))
             top.parts.append(node)
             top = node
-            stack.append((tag, node))
+            push(tag)
         else:
             links += tag == "a"
-            stack.append((tag, None))
+            push(tag)
     return root
 
 
@@ -163,40 +180,76 @@ def _slot(texts: list[tuple[str, bool]]) -> list | None:
     return ["#", False, False, 1, len(whole), sum(len(t.strip()) for t, a in texts if a), zlib.crc32(whole.encode("utf-8", "surrogatepass")), []]
 
 
-def wrap(node: Node, depth: int = 0) -> list:
-    """The wrapper of one page."""
-    children: list[list] = []
+def _add(children: list[list], child: list) -> None:
+    if children and children[-1][LABEL] == child[LABEL]:
+        merge(children[-1], child, same_page=True)
+        children[-1][REPEATED] = True
+    else:
+        children.append(child)
 
-    def add(child: list) -> None:
-        if children and children[-1][LABEL] == child[LABEL]:
-            merge(children[-1], child, same_page=True)
-            children[-1][REPEATED] = True
-        else:
-            children.append(child)
 
-    texts: list[tuple[str, bool]] = []
-    for part in [*node.parts, None]:
+def wrap(page: Node) -> list:
+    """The wrapper of one page, of any depth."""
+    # node, next part, texts since the last element, children so far, hash of all text so far
+    stack: list[list] = [[page, 0, [], [], 0]]
+    while True:
+        node, i, texts, children, crc = top = stack[-1]
+        part = node.parts[i] if i < len(node.parts) else None
+        top[1] = i + 1
         if isinstance(part, tuple):
             texts.append(part)
             continue
-        if texts:
-            slot = _slot(texts)
-            texts = []
-            if slot:
-                add(slot)
+        slot = _slot(texts)
+        texts.clear()
+        if slot:
+            top[4] = crc = zlib.crc32(slot[CONSTANT].to_bytes(4, "little"), crc)
+            _add(children, slot)
         if part is not None:
-            inner = wrap(part, depth + 1)
-            if depth < DEEPEST:
-                add(inner)
-            else:
-                for c in inner[CHILDREN]:
-                    add(c)
-    return [node.label, False, False, 1, sum(c[CHARS] for c in children), sum(c[LINKS] for c in children), None, children]
+            stack.append([part, 0, [], [], 0])
+            continue
+        stack.pop()
+        whole = [node.label, False, False, 1, sum(c[CHARS] for c in children), sum(c[LINKS] for c in children), crc, _few(children)]
+        if not stack:
+            return whole
+        above = stack[-1]
+        above[4] = zlib.crc32(crc.to_bytes(4, "little"), above[4])
+        for c in [whole] if len(stack) <= DEEPEST else whole[CHILDREN]:
+            _add(above[3], c)
+
+
+def _tag(label: str) -> str:
+    return label.partition(".")[0]
+
+
+def fits(label: str, want: str) -> bool:
+    """The label of an element is that of a wrapper's node, or is of a group without class names."""
+    return label == want or (want.endswith(".*") and _tag(label) == want[:-2])
+
+
+def _few(children: list[list]) -> list[list]:
+    """The children, or, if they are too many, one repeated group for each tag."""
+    if len(children) <= MOST_CHILDREN:
+        return children
+    kinds: dict[str, list] = {}
+    for c in children:
+        tag = _tag(c[LABEL])
+        label = "#" if tag == "#" else f"{tag}.*"
+        c[LABEL] = label
+        if label in kinds:
+            merge(kinds[label], c, same_page=True)
+            kinds[label][REPEATED] = True
+        else:
+            kinds[label] = c
+        kinds[label][OPTIONAL] = True
+    return list(kinds.values())
 
 
 def _aligned(a: list, b: list) -> list[tuple[list | None, list | None]]:
     """Children of both sides in an order that keeps both: matched by label along a longest common subsequence."""
-    x, y = [c[LABEL] for c in a], [c[LABEL] for c in b]
+    wide = {c[LABEL][:-2] for c in (*a, *b) if c[LABEL].endswith(".*")}
+    x, y = ([f"{t}.*" if (t := _tag(c[LABEL])) in wide else c[LABEL] for c in side] for side in (a, b))
+    for c, label in zip((*a, *b), (*x, *y), strict=True):
+        c[LABEL] = label
     if x == y:
         return list(zip(a, b, strict=True))
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -230,12 +283,8 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     # neighbours of one label that alignment brought together are one repeated group
     joined: list[list] = []
     for c in children:
-        if joined and joined[-1][LABEL] == c[LABEL]:
-            merge(joined[-1], c, same_page=True)
-            joined[-1][REPEATED] = True
-        else:
-            joined.append(c)
-    a[CHILDREN] = joined
+        _add(joined, c)
+    a[CHILDREN] = _few(joined)
     a[OPTIONAL] |= b[OPTIONAL]
     a[REPEATED] |= b[REPEATED]
     a[PAGES] = max(a[PAGES], b[PAGES]) if same_page else a[PAGES] + b[PAGES]
@@ -261,21 +310,32 @@ def _split(label: str) -> tuple[str, str]:
 
 
 def plan(w: list) -> dict:
-    """Where a wrapper's article is: a path of labels."""
-
-    def clean(node: list) -> int:
-        """Running text: what is in no barred element, without link text."""
-        if node[LABEL] == "#":
-            return max(0, node[CHARS] - 2 * node[LINKS])
-        return 0 if barred(*_split(node[LABEL])) else sum(map(clean, node[CHILDREN]))
+    """Where a wrapper's article is, as a path of labels, and its menus: labels and hashes of text."""
+    memo: dict[int, float] = {}
+
+    def clean(node: list) -> float:
+        """Running text of a node: not of barred elements, less link text, and little of what never varies."""
+        got = memo.get(id(node))
+        if got is None:
+            if node[LABEL] == "#":
+                got = float(max(0, node[CHARS] - 2 * node[LINKS]))
+                got *= CONSTANT_WEIGHT if node[CONSTANT] is not None and node[PAGES] > 1 else 1
+            else:
+                got = 0.0 if barred(*_split(node[LABEL])) else sum(map(clean, node[CHILDREN]))
+            memo[id(node)] = got
+        return got
 
-    found: list[tuple[int, int, tuple[str, ...], list]] = []
+    found: list[tuple[int, float, tuple[str, ...], list]] = []
+    menus: list[tuple[str, int]] = []
 
     def walk(node: list, path: tuple[str, ...]) -> None:
         for c in node[CHILDREN]:
             tag, names = _split(c[LABEL])
             if c[LABEL] == "#" or barred(tag, names):
                 continue
+            if c[PAGES] > 1 and c[CONSTANT] is not None and c[LINKS] and c[LINKS] >= MENU_LINKS * c[CHARS]:
+                menus.append((c[LABEL], c[CONSTANT]))
+                continue
             here = (*path, c[LABEL])
             rank = 3 if tag == "article" else 2 if tag == "main" or "articlebody" in names else 1 if tag in ("div", "section") and MAIN.search(names) else 0
             if rank:
@@ -296,12 +356,14 @@ def plan(w: list) -> dict:
             if child is None or child[REPEATED] or size <= 0.6 * clean(node) or _split(child[LABEL])[0] in ("p", "h1", "h2", "li", "tr"):
                 break
             node, path = child, (*path, child[LABEL])
-    return {"main": list(path)}
+    return {"main": list(path), "menus": menus}
 
 
 def extract(page: Node, where: dict) -> str:
     """The article's blocks in page order, one a line."""
     main = tuple(where["main"])
+    menus = {(label, crc) for label, crc in where["menus"]}
+    labels = {label for label, _ in menus}
     lines: list[str] = []
     texts: list[str] = []
 
@@ -322,7 +384,7 @@ def extract(page: Node, where: dict) -> str:
             continue
         stack[-1][2] = i + 1
         part = node.parts[i]
-        inside = path[: len(main)] == main
+        inside = len(path) >= len(main) and all(map(fits, path, main))
         if isinstance(part, tuple):
             if inside:
                 texts.append(part[0])
@@ -333,7 +395,9 @@ def extract(page: Node, where: dict) -> str:
             heading = part.tag == "header" and "article" in (p.split(".")[0] for p in path)
             if barred(part.tag, part.names) and not heading:
                 continue
-        elif len(here) <= len(main) and here != main[: len(here)]:
+            if part.label in labels and (part.label, wrap(part)[CONSTANT]) in menus:
+                continue
+        elif len(here) <= len(main) and not all(map(fits, here, main)):
             continue
         stack.append([part, here, 0])
     flush()

@@ -1,6 +1,7 @@
 """Each method against brute force, an exact round trip or held-out rows."""
 
 import hashlib
+import html.parser
 import random
 import re
 from collections import Counter
@@ -434,3 +435,75 @@ def test_what_all_pages_of_a_host_share_stays_in_the_article(spark, n):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     want = {i: f"Head\nBy the editors\nPart {i}\ntext {i} one\ntext {i} two" for i in range(n)}
     assert {r.row.page_id: r.text for r in wrapper.main_texts(df).collect()} == want
+
+
+class Marked(html.parser.HTMLParser):
+    """What stands between <article> and </article> of the pages of the test tables, by blocks: a plain reading for comparison."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.lines, self.held = False, [], []
+
+    def cut(self):
+        line = " ".join("".join(self.held).split())
+        self.lines += [line] if line else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "h1", "p"):
+            self.cut()
+            self.inside |= tag == "article"
+        elif tag == "br":
+            self.held.append(" " if self.inside else "")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p"):
+            self.cut()
+            self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.held.append(data)
+
+
+def test_articles_of_the_tables(spark):
+    sf_dir = SF.replace("0.001", "0.01")
+    want = {}
+    for r in table(spark, sf_dir, "pages").collect():
+        reader = Marked()
+        reader.feed(r.html)
+        reader.close()
+        reader.cut()
+        want[r.page_id] = "\n".join(reader.lines)
+    got = {r.page_id: r.text for r in queries.queries()["op10_main_text"](spark, sf_dir).collect()}
+    assert np.mean([got[i] == t for i, t in want.items()]) == 1
+
+
+def test_articles_without_telling_names(spark):
+    """Hosts whose pages say nothing by names: the wrapper must find the article by what varies."""
+    r = random.Random(7)
+    say = lambda n: " ".join(r.choice(("river", "stone", "garden", "window", "letter", "morning", "of", "the")) for _ in range(n))
+    frames = [
+        lambda t: f"<ul><li><a href=/>Home page</a><li><a href=/n>All the news</a></ul><div>{t}</div><center>{'All rights are reserved by the owner of this place. ' * 9}</center>",
+        lambda t: f"<div class=x1><p><a href=/>One</a><br><a href=/2>Two</a></p></div><div class=q>{t}</div><div class=r>{'The owner of this place says this everywhere. ' * 9}</div>",
+        lambda t: f"<div class=a><div class=b><a href=/>Start</a></div><div class=c>{t}<ul><li><a href=/x>More of this</a><li><a href=/y>More of that</a></ul></div></div>",
+    ]
+    pages, want = [], {}
+    for h, frame in enumerate(frames):
+        for i in range(9):
+            blocks = [say(30 + r.randrange(40)) for _ in range(2 + i % 4)]
+            pages.append((100 * h + i, f"http://h{h}.example/{i}", "<html><body>" + frame(f"<h2>Summary</h2>{''.join(f'<p>{b}</p>' for b in blocks)}") + "</body></html>"))
+            want[100 * h + i] = "\n".join(["Summary", *blocks])
+    got = {x.row.page_id: x.text for x in wrapper.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i for i in want if got[i] != want[i]} == set()
+
+
+def test_pages_of_any_depth_and_width(spark):
+    deep = "<div>" * 3000 + "<p>at the bottom</p>" + "</div>" * 3000
+    wide = "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>part {k} of many words</div>" for k in range(3000))
+    pages = [(1, "http://deep.example/", deep), (2, "http://wide.example/1", wide), (3, "http://wide.example/2", wide[: len(wide) // 2]), (4, "http://wide.example/3", "<p>another kind of page here</p>")]
+    got = {x.row.page_id: x.text for x in wrapper.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == "at the bottom" and got[2] == "\n".join(f"part {k} of many words" for k in range(3000)) and got[4] == "another kind of page here"
+    page = wrapper.parse(wide)
+    whole = wrapper.merge(wrapper.wrap(page), wrapper.wrap(wrapper.parse(wide[: len(wide) // 2])))
+    assert len(whole[wrapper.CHILDREN]) <= wrapper.MOST_CHILDREN
