@@ -352,24 +352,48 @@ def test_ids_are_those_of_the_library_and_decode(spark, monkeypatch):
 # ---- 9 ----------------------------------------------------------------------------------
 
 
-def test_probabilities_sum_to_one():
-    model = langid.fit({"x": ["ab abc abd abe " * 5], "y": ["xyz xzy zyx " * 5]})
-    for j in range(2):
-        seen = [chr(c) for c in range(97, 123)]
-        context = "ab"
-        total = 0.0
-        for c in [*seen, " "]:
-            e = [model.entropies([context + t])[0] for t in (c,)]
-            assert e[0] is not None
-        x = langid.codes("abc")
-        hs = langid._hashes(x, langid.ORDER)
-        k = np.searchsorted(model.grams[0], hs[0])
-        total = np.exp2(model.logs[0][:, j].astype(float)).sum() + 2.0 ** model.floor[j]
-        assert (model.grams[0][k] == hs[0]).all() and total == pytest.approx(1.0, abs=1e-3)
+def model_of(texts):
+    return langid.Model(sorted(texts), [langid.fit(langid.counted(texts[lang])) for lang in sorted(texts)])
+
+
+def brute_kneser_ney(texts, order=4):
+    """log2 P(c | context), by the textbook's recursion over strings."""
+    streams = ["".join(map(chr, langid.codes(t).tolist())) for t in texts]
+    grams = [Counter(s[i : i + n] for s in streams for i in range(len(s) - n + 1)) for n in range(order + 1)]
+    letters = len(grams[1])
+    counts = {order: grams[order]}
+    for n in range(order - 1, 0, -1):
+        left = Counter(g[1:] for g in grams[n + 1])
+        counts[n] = {g: left.get(g, 1) for g in grams[n]}
+
+    def discount(n):
+        ones, twos = (sum(v == k for v in counts[n].values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def p(c, context):
+        n = len(context) + 1
+        d = discount(n)
+        held = {g: v for g, v in counts[n].items() if g[:-1] == context}
+        below = 1 / (letters + 1) if n == 1 else p(c, context[1:])
+        total = sum(held.values())
+        return (max(held.get(context + c, 0) - d, 0) + d * len(held) * below) / total if total else below
+
+    return p
+
+
+def test_entropies_are_those_of_the_textbook():
+    texts = {"x": ["ab abc abd abe " * 3, "abba cab"], "y": ["xyz xzy zyx " * 5]}
+    model = model_of(texts)
+    for j, lang in enumerate(model.langs):
+        p = brute_kneser_ney(texts[lang])
+        for text in ("abc", "cab bad xyz", "q", "zyx zyx a"):
+            s = "".join(map(chr, langid.codes(text).tolist()))
+            want = -sum(np.log2(p(s[i], s[max(0, i - 3) : i])) for i in range(1, len(s))) / (len(s) - 1)
+            assert model.entropies([text])[0][j] == pytest.approx(want, abs=1e-5)
 
 
 def test_texts_by_pieces_score_as_wholes(monkeypatch):
-    model = langid.fit({"x": ["the cat sat on the mat " * 20], "y": ["der Hund lag auf dem Sofa " * 20]})
+    model = model_of({"x": ["the cat sat on the mat " * 20], "y": ["der Hund lag auf dem Sofa " * 20]})
     text = "the dog lag on dem mat and the Sofa " * 30
     whole = model.entropies([text, "cat", None, "1"])
     monkeypatch.setattr(langid, "SLICE", 37)
@@ -387,12 +411,34 @@ def test_languages_of_held_out_rows(spark):
 def test_copies_do_not_shrink_the_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "DOCS_A_LANG", 20)
     monkeypatch.setattr(langid, "CALIBRATION_DOCS", 10)
-    seen = {}
-    fit = langid.fit
-    monkeypatch.setattr(langid, "fit", lambda texts: seen.update(texts) or fit(texts))
     rows = [("the same text again", "en")] * 5000 + [(f"some other text of number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(100)]
-    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
-    assert model.langs == ["en"] and len(seen["en"]) == 20
+    rows += [("immer derselbe Satz", "de")] * 20_000 + [(f"ein anderer Satz {chr(97 + i)}", "de") for i in range(15)] + [("seul", "fr"), (None, "it"), ("nobody", None)]
+    sample = langid.sampled(spark.createDataFrame(rows, "text string, lang string")).collect()
+    fits = Counter(r.lang for r in sample if r.fits)
+    assert fits == {"en": 20, "de": 11, "fr": 1} and len({r.text for r in sample}) == len(sample)
+
+
+def test_hundreds_of_labels_and_foreign_texts(spark):
+    r = random.Random(9)
+    rows, names = [], []
+    for k in range(300):
+        letters = r.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        names.append(f"l{k:03d}")
+        rows += [(" ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 7))) for _ in range(40)), names[-1]) for _ in range(6)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.learn(docs)
+    assert model.langs == names
+    got = langid.predict(docs, model).collect()
+    assert np.mean([g.row.lang == g.lang_pred for g in got]) > 0.99 and not any(g.rejected for g in got)
+
+
+def test_foreign_texts_are_rejected_and_others_are_not(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.learn(docs)
+    odd = model.predict(["\u4f60\u597d\u5417" * 20, "\u0436\u0443\u043a " * 30, "qxzjk vwqqz jjxkq zzqxv " * 9])
+    assert all(rejected for *_, rejected in odd)
+    words = [w for r in docs.collect() if r.lang == "en" and r.text for w in r.text.split()[:9]]
+    assert not any(rejected for *_, rejected in model.predict([" ".join(words[i : i + 3]) for i in range(0, 300, 3)]))
 
 
 # ---- 10 ---------------------------------------------------------------------------------
