@@ -145,6 +145,25 @@ def test_the_mix_keeps_its_promises(spark):
     assert mixing.mix(docs).count() == sum(len(r.shards) for r in got)
 
 
+@pytest.mark.parametrize("copies, others", [(1000, 0), (1000, 37), (1, 0), (3, 500)])
+def test_equal_rows_are_cut_among(spark, copies, others):
+    rows = [(1, "one two", "b")] * copies + [(2 + i, "some other words stand here", "b") for i in range(others)] + [(9000 + i, "a b c", f"a{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 5):
+        got = mixing.mix_report(docs.repartition(parts)).collect()
+        own = [r for r in got if r.doc_id < 9000]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5 and all(r.taken <= 2 * r["size"] for r in got)
+        if parts == 1:
+            first = sorted((r.doc_id, r.taken) for r in got)
+        assert sorted((r.doc_id, r.taken) for r in got) == first
+
+
+def test_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', 1 + id % 7) AS text", "concat('s', id) AS source")
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == 3000 and len({r.target for r in got}) > 3 and all(r.taken <= 2 * r["size"] for r in got)
+
+
 # ---- 3 and 5 ----------------------------------------------------------------------------
 
 
