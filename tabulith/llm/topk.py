@@ -9,12 +9,15 @@ coordinate at the query's largest places rules the cosine out are dropped, below
 that are too short. What is left is verified by exact integer products.
 
 Blocks cut equal lengths by row number, so a vector that repeats a million times still gives
-even blocks. Every block that isn't ruled out is compared: the result is exact. The driver
-holds one length and one dimension per block of BLOCK vectors, nothing per vector.
+even blocks. Every block that isn't ruled out is compared: the result is exact. Candidate blocks
+are dealt once, by block, and stay; query blocks go to them, in the narrowest integers that hold
+them. The driver holds one length and one dimension per block of BLOCK vectors, nothing per vector.
 
 A row whose vector is null, or holds a null or a component that isn't finite, takes no part.
-Vectors of different dimension have no product. Rows are told apart by place, not by id, so a
-repeated row is a candidate for its twin. Null ids come last among ties and are no queries.
+Vectors of different dimension have no product; that of two empty vectors is 0. Components and
+scores beyond 64 bits are taken as the largest or smallest long. Rows are told apart by place,
+not by id, so a repeated row is a candidate for its twin. Null ids come last among ties and are
+no queries. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from tabulith.llm.common import staged
 
 BLOCK = 4096
 QUERIES = 1024
+LISTED = 4096
 COORDINATE_FROM = 0.7
 SCALE = 256
 _BLOCKS = "part int, dim int, longest double, ids array<long>, rows array<long>, matrix binary"
@@ -51,6 +55,8 @@ def _packed(size: int, queries: bool):
         def flush() -> pa.RecordBatch:
             own = sorted(held, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             matrix = np.array([r[4] for r in own], dtype=np.int64)
+            if matrix.size and -(1 << 31) < matrix.min() and matrix.max() < 1 << 31:
+                matrix = matrix.astype(np.int32)
             longest = max(r[3] for r in own)
             block = pa.record_batch(
                 [pa.array([0], pa.int32()), pa.array([own[0][2]], pa.int32()), pa.array([longest]), pa.array([[r[0] for r in own]], pa.list_(pa.int64())), pa.array([[r[1] for r in own]], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())],
@@ -77,27 +83,36 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     return blocks.withColumn("part", F.xxhash64("dim", F.element_at("rows", 1)))
 
 
-def _matrix(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.int64).reshape(-1, dim) if dim else np.zeros((0, 0), dtype=np.int64)
+def _matrix(raw: bytes, dim: int, rows: int) -> np.ndarray:
+    if not dim:
+        return np.zeros((rows, 0), dtype=np.int64)
+    return np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * dim * rows else np.int64).reshape(rows, dim).astype(np.int64)
+
+
+LEAST, MOST = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products: by doubles where every partial sum fits them."""
-    if q.size and c.size and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2.0**52:
+    """Exact integer products, by doubles where every partial sum fits them; those beyond 64 bits become the nearest long."""
+    if not q.size or not c.size:
+        return np.zeros((len(q), len(c)), dtype=np.int64)
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(c.astype(np.float64)).max()) * q.shape[1]
+    if most < 2.0**52:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if most < 2.0**62:
+        return q @ c.T
+    return np.clip(q.astype(object) @ c.astype(object).T, int(LEAST), int(MOST)).astype(np.int64)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """For each row the places of its k best scores; ties to the earlier place."""
+def _best(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its k best scores, its own last; ties to the earlier place."""
     n = scores.shape[1]
-    if n <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    if float(np.abs(scores).max(initial=0)) * n < 2.0**62:
+    if n > k and float(np.abs(scores.astype(np.float64)).max(initial=0)) * n < 2.0**61:
         key = scores * n + np.arange(n - 1, -1, -1)
+        key[own] = LEAST
         top = np.argpartition(key, n - k, axis=1)[:, n - k :]
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, axis=1), axis=1), axis=1)
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.argsort(~np.where(own, LEAST - 1, scores), axis=1, kind="stable")[:, :k]
 
 
 def _thresholds(k: int):
@@ -109,7 +124,7 @@ def _thresholds(k: int):
             col = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
             out = []
             for i in range(batch.num_rows):
-                q, c = _matrix(col["matrix"][i], col["dim"][i]), _matrix(col["c_matrix"][i], col["dim"][i])
+                q, c = _matrix(col["matrix"][i], col["dim"][i], len(col["rows"][i])), _matrix(col["c_matrix"][i], col["dim"][i], len(col["c_rows"][i]))
                 s = _products(q, c).astype(np.float64)
                 s[np.array(col["rows"][i])[:, None] == np.array(col["c_rows"][i])[None, :]] = -np.inf
                 out.append(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].tolist() if s.shape[1] >= k else [-np.inf] * len(q))
@@ -125,7 +140,7 @@ def _compare(k: int):
             col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 dim = col["dim"][i]
-                q, c = _matrix(col["matrix"][i], dim), _matrix(col["c_matrix"][i], dim)
+                q, c = _matrix(col["matrix"][i], dim, len(col["rows"][i])), _matrix(col["c_matrix"][i], dim, len(col["c_rows"][i]))
                 q_rows, c_rows = np.array(col["rows"][i]), np.array(col["c_rows"][i])
                 c_ids = col["c_ids"][i]
                 least = np.array(col["least"][i])
@@ -135,8 +150,7 @@ def _compare(k: int):
                 def keep(rows: np.ndarray, places: np.ndarray, scores: np.ndarray) -> None:
                     """rows of q against places of c; scores may hold the query itself."""
                     own = q_rows[rows][:, None] == c_rows[places][None, :]
-                    scores = np.where(own, np.int64(np.iinfo(np.int64).min >> 1), scores) if own.any() else scores
-                    for r, top in zip(rows.tolist(), _best(scores, k), strict=True):  # noqa: B023
+                    for r, top in zip(rows.tolist(), _best(scores, own, k), strict=True):
                         at = np.searchsorted(rows, r)
                         out.extend((col["ids"][i][r], int(q_rows[r]), c_ids[places[t]], int(c_rows[places[t]]), int(scores[at, t])) for t in top.tolist() if not own[at, t] and scores[at, t] >= least[r])  # noqa: B023
 
@@ -184,10 +198,13 @@ def search(vectors: DataFrame, k: int = 5, id_column: str = "vec_id", vector_col
     known = queries.join(first, "dim").select("part", "dim", "longest", "ids", "rows", "matrix", "c_rows", "c_matrix")
     known = staged(known.mapInArrow(_thresholds(k), "part long, dim int, longest double, ids array<long>, rows array<long>, matrix binary, least array<double>"), "topk-thresholds")
     # a query block goes to the blocks whose longest vector can reach some threshold of it
-    reach = spark.createDataFrame([(r.dim, r.part, r.longest) for r in listed], "dim int, c_part long, c_longest double").groupBy("dim").agg(F.collect_list(F.struct("c_part", "c_longest")).alias("those"))
+    # (rows of LISTED blocks at most)
+    reach = spark.createDataFrame([(r.dim, i // LISTED, r.part, r.longest) for i, r in enumerate(listed)], "dim int, chunk int, c_part long, c_longest double")
+    reach = reach.groupBy("dim", "chunk").agg(F.collect_list(F.struct("c_part", "c_longest")).alias("those"))
     sent = known.join(reach, "dim").select("dim", "longest", "ids", "rows", "matrix", "least", F.explode("those").alias("that"))
     sent = sent.where(F.array_min("least") <= F.col("longest") * F.col("that.c_longest") * (1 + 1e-9)).withColumn("c_part", F.col("that.c_part"))
-    pairs = sent.join(named, "c_part").select("dim", "ids", "rows", "matrix", "least", "c_ids", "c_rows", "c_matrix")
-    found = pairs.repartition(F.xxhash64(F.element_at("rows", 1), F.element_at("c_rows", 1))).mapInArrow(_compare(k), "query_id long, query_row long, vec_id long, row long, score long")
+    tasks = max(1, len(listed))
+    pairs = sent.select("c_part", "dim", "ids", "rows", "matrix", "least").repartition(tasks, "c_part").join(named.repartition(tasks, "c_part"), "c_part")
+    found = pairs.drop("c_part").mapInArrow(_compare(k), "query_id long, query_row long, vec_id long, row long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

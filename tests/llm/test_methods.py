@@ -9,8 +9,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tabulith.llm import bpe, langid, mixing, near_dup, pii, quality, queries, toxicity, webp, wrapper
+from tabulith.llm import bpe, langid, mixing, near_dup, pii, quality, queries, topk, toxicity, webp, wrapper
 from tabulith.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -305,6 +306,27 @@ def test_top_products_are_those_of_sql(spark):
     assert sorted(map(tuple, queries.queries()["op6_topk"](spark, SF).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
 
 
+def test_top_products_of_odd_vectors(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(3)]) for i in range(0, 400, 5)] + [(50, []), (100, []), (7, []), (None, [1.0, 1.0, 1.0])]
+    rows += [(150, [1e300, -1e300]), (151, [1e300, 1e17]), (152, [-1e300, 2.0]), (200, [3e9, 4e9, 1.0]), (201, [5e9, -6e9, 1.0]), (0, [2.0, 2.0, 2.0]), (0, [2.0, 2.0, 2.0])]
+
+    def whole(x):
+        return max(-(1 << 63), min((1 << 63) - 1, int(np.floor(256 * x)) if abs(x) < 1e15 else int(x) * 256))
+
+    scaled = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = []
+    for a, (i, v) in enumerate(scaled):
+        if i is not None and i % 50 == 0:
+            found = [(max(-(1 << 63) + 1, min((1 << 63) - 1, sum(x * y for x, y in zip(v, w, strict=True)))), j) for b, (j, w) in enumerate(scaled) if a != b and len(w) == len(v)]
+            found.sort(key=lambda f: (-f[0], f[1] is None, f[1] or 0))
+            want += [(i, n, j, s) for n, (s, j) in enumerate(found[:5], 1)]
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("x")).withColumn("score", F.lit(1)))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 # ---- 7 ----------------------------------------------------------------------------------
 
 
