@@ -5,24 +5,28 @@ Encoding:
    lists its distinct words by word bucket, and each text becomes the positions of its
    pre-tokens in that list (a row per text).
 2. The chunks' lists are shuffled by bucket, so equal words of all chunks meet in one task,
-   which merges each distinct word once.
-3. Ids go back to their chunks, where texts are reassembled by position.
+   which merges each distinct word once. There are as many buckets as BUCKET_BYTES of text.
+3. Ids go back to their chunks, joined with the token-byte table; there texts are reassembled by
+   position, once as ids and once as the bytes of their tokens.
 
 The chunks are written once to the shared folder: their borders then can't change when an
 executor is lost, and words and positions are read as two branches of the same rows.
 No key is hot: a chunk adds each word once, however frequent it is.
 
 Decoding joins the token-byte table (at most MAX_VOCABULARY rows, so it may be broadcast)
-and concatenates by position.
+and concatenates by position: for whole texts from the distinct tokens of a chunk, and in
+``decode`` from ids alone.
 
-Null texts count as empty; an empty text has no ids. Repeated rows stay apart: a text is
-known by its chunk and row, not by its id.
+Null texts count as empty; an empty text has no ids. Texts of any length are encoded whole.
+Repeated rows stay apart: a text is known by its chunk and row, not by its id, which may be
+null. An empty table gives an empty result. Other columns of docs are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,6 +49,8 @@ TEXTS_A_ROW, WORDS_A_ROW = 1024, 1 << 19  # a row ends at either
 LEVEL = 6  # of compression: what is written and shuffled is mostly ranks
 COMMON = 255  # ranks below it take one byte, others go to a stream of their own
 MAX_VOCABULARY = 1 << 20
+BUCKET_BYTES = 32 << 20
+MAX_WORDS = 1 << 20  # that a task remembers; beyond, words are merged again
 
 
 @lru_cache(maxsize=4)
@@ -58,13 +64,33 @@ def _ranks(name: str) -> dict[bytes, int]:
     return found
 
 
-@lru_cache(maxsize=4)
-def _merger(name: str):
-    import public_tokenizers
-    import tiktoken
-
-    encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(name), special_tokens={})
-    return encoding._core_bpe.encode_single_piece
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one pre-token: of all neighbours the pair of the lowest rank is joined, the leftmost first, until no pair has a rank."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    end = list(range(1, n + 1))  # of the part that starts here; 0 where none does
+    before = list(range(-1, n - 1))
+    queue = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(queue)
+    while queue:
+        _, i, stop = heapq.heappop(queue)
+        middle = end[i]
+        if not middle or middle == n or end[middle] != stop:  # one of the two parts has grown or gone
+            continue
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            r = ranks.get(word[i : end[stop]])
+            if r is not None:
+                heapq.heappush(queue, (r, i, end[stop]))
+        if i:
+            left = before[i]
+            r = ranks.get(word[left:stop])
+            if r is not None:
+                heapq.heappush(queue, (r, left, stop))
+    return [ranks[word[i:e]] for i, e in enumerate(end) if e]
 
 
 def _class(prop: str) -> str:
@@ -176,32 +202,39 @@ def _chunks(buckets: int, schema: pa.Schema):
 
 
 def _merge(name: str):
-    schema = pa.schema([("chunk", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("payload", pa.binary()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct word of this task's buckets is merged once; its ids go back to every chunk that has it."""
-        merge = _merger(name)
+        """Each distinct word of this task's buckets is merged once; its ids go back to every chunk that has it, with the tokens that are new there."""
+        ranks = _ranks(name)
         known: dict[bytes, list[int]] = {}
+        told: defaultdict[int, set[int]] = defaultdict(set)
         for batch in batches:
-            out = []
-            for payload in batch.column(1).to_pylist():
-                ranks, sizes, words = _unpack(payload, "iib")
+            out, tokens = [], []
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                places, sizes, words = _unpack(payload, "iib")
                 ids = []
                 for w in _cut(words, sizes):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = merge(w)
+                        if len(known) >= MAX_WORDS:
+                            known.clear()
+                        got = known[w] = merge(w, ranks)
                     ids.append(got)
-                out.append(_pack(ranks, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x])))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], schema=schema)
+                flat = np.array([i for x in ids for i in x])
+                new = set(flat.tolist()) - told[chunk]
+                told[chunk] |= new
+                tokens.append(sorted(new))
+                out.append(_pack(places, np.array([len(x) for x in ids]), flat))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], schema=schema)
 
     return run
 
 
-def _reassemble(name: str, want_ids: bool, digest: bool, schema: pa.Schema):
+def _reassemble(want_ids: bool, digest: bool, schema: pa.Schema):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = {i: w for w, i in _ranks(name).items()}
-        parts = [_unpack(p, "iii") for p in words.column("payload").to_pylist()]
+        table = dict(zip(words.column("id").to_pylist(), words.column("bytes").to_pylist(), strict=True))
+        parts = [_unpack(p, "iii") for p in words.column("payload").drop_null().to_pylist()]
         ranks = np.concatenate([np.cumsum(r) for r, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
         sizes = np.concatenate([n for _, n, _ in parts]).astype(np.int64) if parts else ranks
         flat = np.concatenate([i for _, _, i in parts]) if parts else ranks.astype(np.int32)
@@ -248,23 +281,27 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", ids: bool
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark: SparkSession = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     made = T.StructType().add("chunk", "long").add("bucket", "integer").add("doc_ids", T.ArrayType(kind)).add("payload", "binary")
     chunks = staged(read.mapInArrow(_chunks(buckets, to_arrow_schema(made)), made), "bpe-chunks")
     words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "payload", "bucket")
-    merged = words.repartition(F.col("bucket")).select("chunk", "payload").mapInArrow(_merge(name), "chunk long, payload binary")
+    merged = words.repartition(F.col("bucket")).select("chunk", "payload").mapInArrow(_merge(name), "chunk long, payload binary, tokens array<int>")
+    each = merged.select("chunk", "payload", F.posexplode_outer("tokens").alias("pos", "id")).withColumn("payload", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("payload")))
+    joined = each.join(F.broadcast(token_bytes(spark, name)), "id", "left").select("chunk", "payload", "id", "bytes")
     texts = chunks.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "payload")
     out = T.StructType().add("doc_id", kind).add("n_tokens", "long")
     out = out.add("ids", T.ArrayType(T.IntegerType())) if ids else out
     out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else out
-    return texts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble(name, ids, digest, to_arrow_schema(out)), out)
+    return texts.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(_reassemble(ids, digest, to_arrow_schema(out)), out)
 
 
 def token_bytes(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """The token-byte table: id, bytes."""
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in _ranks(name).items()], "id int, bytes binary")
+    ranks = _ranks(name)
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
 
 
 def decode(encoded: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:

@@ -386,6 +386,9 @@ def test_ids_are_those_of_the_library_and_decode(spark, monkeypatch):
         assert got[i].ids == ids and got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    long = "".join(chr(r.choice(range(97, 123))) for _ in range(20_000))
+    for word in [long, long[:300] + "\u4f60\u597d" * 50, "a" * 5000, *texts[3][1].split()]:
+        assert bpe.merge(word.encode(), ranks) == library._core_bpe.encode_single_piece(word.encode())
     back = bpe.decode(spark.createDataFrame([(i, got[i].ids) for i, _ in texts[:50]] + [(-1, [10**6])], "doc_id long, ids array<int>"))
     assert {x.doc_id: x.text for x in back.collect()} == {**{i: t or "" for i, t in texts[:50]}, -1: None}
 
