@@ -4,6 +4,7 @@ import hashlib
 import html.parser
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -290,6 +291,16 @@ def test_payloads_are_read_back(spark, monkeypatch):
     assert len(images) > 2 and b"".join(webp.samples(webp.decode(m)) for m in images).startswith(raw)
 
 
+def test_every_means_of_the_format_stores_documents():
+    r = random.Random(11)
+    used = Counter()
+    for _ in range(500):
+        raw = " ".join(r.choice(("river", "stone", "garden", "window", "letter")) for _ in range(1 + r.randrange(900))).encode()
+        used[zlib.crc32(raw) % webp.SHARES] += 1
+        assert b"".join(webp.samples(webp.decode(m)) for m in webp.store(raw)).startswith(raw)
+    assert all(used[k] for k in range(5))
+
+
 def test_pixel_arrays(spark):
     media = spark.createDataFrame([(1, bytearray(webp.encode(np.array([[0xFF010203, 0x80FFFFFF]], dtype=np.uint32)))), (2, None), (3, bytearray(b"no"))], "k int, media binary")
     got = {r.row.k: (r.width, r.height, r.pixels and bytes(r.pixels)) for r in webp.pixels(media).collect()}
