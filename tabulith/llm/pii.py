@@ -2,14 +2,18 @@
 
 Base spans (e-mail, IP, card, phone) come from four patterns and always stay. Candidates for
 further spans are tokens with digits and runs of capitalised words that touch no base span.
-Regex, gazetteer and context labelers vote yes, no or nothing on each candidate. Counts of
-vote patterns over the whole corpus go through expectation-maximisation (Dawid-Skene: per
-labeler and class a distribution over its three answers), whose posteriors are the soft
-labels of a logistic span classifier over shape and context features. What reaches the driver
-is one count per distinct (votes, features) pattern: all features are buckets, so their number
-is bounded whatever the corpus.
-
-A null text counts as empty and has no spans. Repeated rows get equal results.
+Regex, gazetteer and context labelers answer yes, no or nothing on each candidate. Counts of
+answers over the whole corpus go through expectation-maximisation (Dawid-Skene, for each kind of
+candidate: per labeler and class a distribution over its three answers, silence being one, under
+the condition that no labeler is worse than chance), whose posteriors are the soft labels of
+a logistic span classifier over shape and context features. What reaches the driver is one count
+per distinct (answers, features) pattern: all features are buckets, so their number is bounded
+whatever the corpus.
+
+A null text counts as empty and has no spans. Texts of any length are read whole. Repeated rows
+get equal results. Spans that start together are listed in the order of KINDS. An empty table
+teaches a model without patterns and gives an empty result. Other columns travel in ``row``
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "name")
 KINDS = (*BASE, *ADDED)
+KIND_CODES = {"secret": "s", "number": "d", "name": "n"}
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -93,7 +98,12 @@ GIVEN = frozenset(
     "Hans Karl Heinz Jürgen Ursula Monika Petra Sabine Pierre Jean Marie Claire Luc Sophie Camille Juan José María Carmen Carlos Ana Luis "
     "Pedro Pablo Miguel Javier Laura Elena Lucía".split()
 )
-NOT_NAMES = frozenset("The And All Rights Reserved License Licensed Public General Apache Creative Commons Released Under Version Copyright This That".split())
+#: Words that stand capitalised in titles and legal lines of any kind.
+NOT_NAMES = frozenset(
+    "The And All Any For From With This That These Those You Your Our Not Are Was Has Have Will May Shall Rights Reserved License Licensed Licence Public General Private Commons Copyright "
+    "Version Terms Conditions Policy Privacy Service Services Company Limited Software Source Open Free Foundation University Institute Street Road City State United North South East West New "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+)
 CUES = re.compile(
     r"(?:token|secret|password|passwd|api|key|tel|phone|fax|mobile|call|ssn|passport|account|iban|card|contact|name|mr|mrs|ms|dr|dear|signed|born|mail|id)\W{0,6}$",
     re.IGNORECASE,
@@ -104,8 +114,10 @@ _TOKEN_END = re.compile(r"[\s,;\"'<>|()\[\]{}]")
 _SECRET = re.compile(r"(?:[0-9a-fA-F]{20,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2})$")
 _NUMBERED = re.compile(r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}|[0-9]{9,19}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})$")
 _DULL_NUMBER = re.compile(r"[0-9]{1,5}(?:[.,:/-][0-9]{1,4}){0,2}[.%]?$")
+_NO_CARD = re.compile(r"[0-9]{14,19}$")  # were it a card by its checksum, it would be a base span
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "+/=_-")
 REACH = 40
+TRUST = 0.1  # of all candidates, as answers that a labeler is taken to have given rightly before any is counted
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
@@ -142,7 +154,7 @@ def votes(text: str, lo: int, hi: int, kind: str) -> str:
     s, before = text[lo:hi], text[max(0, lo - REACH) : lo]
     words = s.split(" ") if kind == "name" else []
     rx_secret = "+" if kind == "secret" and _SECRET.match(s) else "-" if len(s) < 6 else "0"
-    rx_number = "0" if kind == "name" else "+" if _NUMBERED.match(s) else "-" if _DULL_NUMBER.match(s) else "0"
+    rx_number = "0" if kind == "name" else "-" if _NO_CARD.match(s) else "+" if _NUMBERED.match(s) else "-" if _DULL_NUMBER.match(s) else "0"
     gazetteer = "0" if kind != "name" else "+" if words[0] in GIVEN or words[-2] in GIVEN else "-" if NOT_NAMES.intersection(words) else "0"
     context = "+" if CUES.search(before) else "-" if DULL.search(before) else "0"
     assigned = "+" if re.search(r"[=:] ?[\"']?$", before) else "0"
@@ -158,7 +170,7 @@ def features(text: str, lo: int, hi: int, kind: str) -> str:
     side = lambda c: "_" if not c else "q" if c in "\"'" else "p" if not c.isalnum() and not c.isspace() else "s"
     cue = "c" if CUES.search(before) else "d" if DULL.search(before) else "n"
     given = "g" if kind == "name" and GIVEN.intersection(s.split(" ")) else "n"
-    return f"{kind[0]}{min(6, n.bit_length())}{min(4, 4 * digits // n)}{min(4, 4 * upper // n)}{side(text[lo - 1 : lo])}{side(text[hi : hi + 1])}{cue}{given}"
+    return f"{KIND_CODES[kind]}{min(6, n.bit_length())}{min(4, 4 * digits // n)}{min(4, 4 * upper // n)}{side(text[lo - 1 : lo])}{side(text[hi : hi + 1])}{cue}{given}"
 
 
 def patterns(docs: DataFrame) -> Counter[tuple[str, str]]:
@@ -181,11 +193,11 @@ def patterns(docs: DataFrame) -> Counter[tuple[str, str]]:
     return Counter({tuple(r.pattern.split(" ")): r.n for r in got})
 
 
-def reliabilities(counts: Counter[str], rounds: int = 50) -> tuple[float, np.ndarray, dict[str, float]]:
-    """EM over vote patterns: the prior of yes, [labeler, class, answer] probabilities, each pattern's posterior.
+def reliabilities(counts: Counter[str], rounds: int = 100) -> tuple[float, np.ndarray, dict[str, float]]:
+    """EM over patterns of answers: the prior of yes, [labeler, class, answer] probabilities, each pattern's posterior.
 
-    It starts from the share of yes among the answers given, and stays with labelers that are better than chance:
-    counts are smoothed by one answer of each kind.
+    It starts from the share of yes among the answers given. All three answers count, silence
+    as well; TRUST is the weight of a prior that yes is said of spans and no of others.
     """
     keys = sorted(counts)
     if not keys:
@@ -194,25 +206,25 @@ def reliabilities(counts: Counter[str], rounds: int = 50) -> tuple[float, np.nda
     a = np.array([["-0+".index(c) for c in k] for k in keys])
     yes, no = (a == 2).sum(axis=1), (a == 0).sum(axis=1)
     p = (yes + 0.25) / (yes + no + 1.0)
+    lab = np.arange(a.shape[1])
     for _ in range(rounds):
         prior = float(np.clip((w * p).sum() / w.sum(), 0.01, 0.99))
-        theta = np.empty((a.shape[1], 2, 3))
+        theta = np.ones((a.shape[1], 2, 3))
+        theta[:, 0, 0] += TRUST * w.sum() * (1 - prior)
+        theta[:, 1, 2] += TRUST * w.sum() * prior
         for c, q in enumerate((1 - p, p)):
             for v in range(3):
-                theta[:, c, v] = ((w * q)[:, None] * (a == v)).sum(axis=0) + 1.0
-            theta[:, c] /= theta[:, c].sum(axis=1, keepdims=True)
-        # silence says nothing about the class: only answers count
-        said = a != 1
-        share = theta / np.maximum(theta[:, :, [0, 2]].sum(axis=2, keepdims=True), 1e-9)
-        logs = np.log(share)
-        lab = np.arange(a.shape[1])
-        odds = math.log(prior / (1 - prior)) + (said * (logs[lab, 1, a] - logs[lab, 0, a])).sum(axis=1)
+                theta[:, c, v] += ((w * q)[:, None] * (a == v)).sum(axis=0)
+        theta /= theta.sum(axis=2, keepdims=True)
+        # no labeler is worse than chance: a yes never speaks against a span, a no or silence never for one
+        ratio = np.log(theta[:, 1]) - np.log(theta[:, 0])
+        ratio = np.concatenate([np.minimum(ratio[:, :2], 0), np.maximum(ratio[:, 2:], 0)], axis=1)
+        odds = math.log(prior / (1 - prior)) + ratio[lab, a].sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        new = np.where(yes + no == 0, np.minimum(new, 0.25), new)  # nobody spoke: not a span
-        if np.abs(new - p).max() < 1e-6:
-            p = new
-            break
+        done = np.abs(new - p).max() < 1e-6
         p = new
+        if done:
+            break
     return prior, theta, dict(zip(keys, p.tolist(), strict=True))
 
 
@@ -224,10 +236,10 @@ class SpanModel:
     """Logistic regression over bucket features; decides on a candidate by its feature pattern alone."""
 
     def __init__(self, counts: Counter[tuple[str, str]]):
-        votes_only: Counter[str] = Counter()
-        for (v, _), n in counts.items():
-            votes_only[v] += n
-        self.prior, self.theta, posterior = reliabilities(votes_only)
+        by_kind: dict[str, Counter[str]] = {}
+        for (v, f), n in counts.items():
+            by_kind.setdefault(f[0], Counter())[v] += n
+        self.labelers = {kind: reliabilities(own) for kind, own in by_kind.items()}
         names = sorted({x for _, f in counts for x in _onehot(f)})
         self.index = {x: i for i, x in enumerate(names)}
         keys = sorted(counts)
@@ -235,7 +247,7 @@ class SpanModel:
         for r, (_, f) in enumerate(keys):
             x[r, [self.index[z] for z in _onehot(f)]] = 1
             x[r, -1] = 1
-        y = np.array([posterior[v] for v, _ in keys])
+        y = np.array([self.labelers[f[0]][2][v] for v, f in keys])
         w = np.array([counts[k] for k in keys], dtype=float)
         self.w = self._newton(x, y, w) if keys else np.zeros(1)
 
