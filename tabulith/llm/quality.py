@@ -12,8 +12,11 @@ The fit uses at most ROWS_A_CLASS labelled documents of each class and POOL unla
 the first by a hash of doc_id: the documented bound of the sample. Of these, measures reach
 the driver, never texts. Scoring reads all texts whole.
 
-A null text is measured as an empty one. Null metadata is a value of its own. Without labels
-of both classes every score is the class share.
+A null text is measured as an empty one. Null metadata is a value of its own. Of a repeated
+document the row of the smallest hash is learned from, and repeated rows get equal scores. Without
+labels of both classes every score is the class share (0.5 of empty tables). Equally sure documents
+go by their order of hash. Texts of any length are measured whole. Other columns travel in ``row``
+whatever their names.
 """
 
 from __future__ import annotations
@@ -207,7 +210,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     picked = F.broadcast(picked[0].union(picked[1]))  # 2 * ROWS_A_CLASS rows at most
     rows = docs.select("doc_id", *[c.alias(n) for c, n in zip(_inputs(), ("text", "source", "lang", "n_chars"), strict=True)])
     measured = lambda df, *more: df.select("doc_id", seen(*_inputs()).alias("seen"), *more)
-    ours = measured(rows.join(picked, "doc_id"), "y")
+    # of repeated documents the one of the smallest hash, so that each label brings one row
+    every = F.struct("text", "source", "lang", "n_chars")
+    known = rows.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min_by(every, F.xxhash64("text", "source", "lang", "n_chars")).alias("of"))
+    ours = measured(known.select("doc_id", "y", "of.*"), "y")
     # hashes are uniform, so a part of their range holds about twice the pool; the limit cuts it to the first by hash,
     # and what is sorted are measures, not texts
     width = 1 << 64

@@ -7,8 +7,15 @@ features that tell the classes apart best.
 
 The fit uses at most ROWS_A_CLASS labelled documents of each class, the first by hash of
 doc_id: that is the documented bound of the sample. Their texts are read whole, where they lie:
-only counts of n-grams and each document's chosen features reach the driver. Scoring reads every text whole and needs only the text. A null or empty text has no feature
-and gets the intercept's score. Without labels of both classes every score is the class share.
+only counts of n-grams and each document's chosen features reach the driver. Scoring reads
+every text whole and needs only the text. FEATURES is the size of the model: on held-out rows of
+sf0.1 3000 features find 87 of 97 toxic documents, 30000 find 67 and 100000 find 62, all without
+a false alarm.
+
+A null or empty text has no feature and gets the intercept's score. Without labels of both classes
+every score is the class share, 0.5 for empty tables. Of repeated documents the text of the
+smallest hash is learned from, of repeated labels the highest; repeated rows get equal scores. A
+score of exactly 0.5 predicts 1. Other columns travel in ``row`` whatever their names.
 """
 
 from __future__ import annotations
