@@ -11,17 +11,27 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a folder of this machine for a local master, and an error for any other."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tabulith-"))
     return "file://" + _own_dir[0]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no one else uses; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back: its branches share the work, and a lost executor costs a reread."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df once and read it back: its branches share the work, and a lost executor costs a reread, never a recomputation with other batch borders."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
