@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith.sources.stages import staged
+
 TERMS = {
     "geotectonic": ["tianshan", "kunlun"],
     "tectonic": ["central altai", "north tarim", "west junggar"],
@@ -71,6 +73,12 @@ GLYPH = {
 AREA = {"x0": "0.1", "y0": "0.15 + (pdf_id % 5) * 0.05", "x1": "0.9", "y1": "0.55 + (pdf_id % 5) * 0.05"}
 
 
+#: Tables printed on pages: glyphs of 3 by 8 units, columns 72 and rows 12 units apart, 40 rows a page; a third of the papers lies on its side.
+ROWS_A_SHEET, PITCH, LEAD, LEFT, TOP = 40, 72.0, 12.0, 20.0, 60.0
+SHEET_W, SHEET_H = 620.0, 620.0
+SIDEWAYS = "pdf_id % 3 = 1"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -120,6 +128,29 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets(spark, sf_dir).selectExpr("pdf_id", "page", "0 AS table_id", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in AREA.items()])
 
 
+def printed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells by the page that they are printed on."""
+    return cells(spark, sf_dir).selectExpr("pdf_id", f"CAST(page * 100 + floor(rid / {ROWS_A_SHEET}) AS INT) AS page", "table_id", f"CAST(rid % {ROWS_A_SHEET} AS INT) AS rid", "cid", "value")
+
+
+def printed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Detections, pages and glyphs of the printed cells. On pages that lie on their side tops are right edges."""
+    rows = printed_cells(spark, sf_dir)
+    chars = rows.selectExpr("pdf_id", "page", "rid", "cid", "posexplode(split(value, '')) AS (i, ch)").where("ch <> ''")
+    up = chars.selectExpr("*", f"{LEFT} + cid * {PITCH} + i * 3.0 AS x", f"{TOP} + rid * {LEAD} AS y", f"{SIDEWAYS} AS side")
+    placed = up.selectExpr(
+        "pdf_id", "page", "CAST((rid * 8 + cid) * 100 + i AS BIGINT) AS seq", "ch", "'F1' AS font", "10.0D AS size",
+        "CAST(IF(side, y, x) AS DOUBLE) AS x0", f"CAST(IF(side, {SHEET_W} - x - 3, y) AS DOUBLE) AS y0", "CAST(IF(side, y + 8, x + 3) AS DOUBLE) AS x1", f"CAST(IF(side, {SHEET_W} - x, y + 8) AS DOUBLE) AS y1",
+        f"CAST({SHEET_W} AS DOUBLE) AS page_w", f"CAST({SHEET_H} AS DOUBLE) AS page_h",
+    )
+    placed = staged(placed, "printed-glyphs")  # the steps of an extraction read it several times
+    last = rows.groupBy("pdf_id", "page", "table_id").agg(F.max("rid").alias("last"))
+    box = last.selectExpr("pdf_id", "page", "table_id", f"{LEFT} - 4 AS a", f"{TOP} - 4 AS b", f"{LEFT} + 8 * {PITCH} - 6 AS c", f"{TOP} + last * {LEAD} + 12 AS d", f"{SIDEWAYS} AS side")
+    found = box.selectExpr("pdf_id", "page", "table_id", *[f"CAST(IF(side, {s}, {u}) / {SHEET_W} AS DOUBLE) AS {n}" for n, u, s in (("x0", "a", "b"), ("y0", "b", f"{SHEET_W} - c"), ("x1", "c", "d"), ("y1", "d", f"{SHEET_W} - a"))])
+    pages = found.selectExpr("pdf_id", "page", f"CAST({SHEET_W} AS DOUBLE) AS width", f"CAST({SHEET_H} AS DOUBLE) AS height")
+    return found, pages, placed
+
+
 # ---- the same as SQL --------------------------------------------------------------------
 
 SQL = {
@@ -140,6 +171,7 @@ SQL = {
   FROM (SELECT doc_id, c, pos, (pos // {SHEET})::INT AS page, pos % {SHEET} AS i
     FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE length(text) > 0)))""",
     "sheets": f"""sheets AS (SELECT doc_id AS pdf_id, unnest(range(((length(text) - 1) // {SHEET} + 1)::INT))::INT AS page, {PAGE_W}::DOUBLE AS width, {PAGE_H}::DOUBLE AS height FROM documents WHERE length(text) > 0)""",
+    "printed": f"""printed AS (SELECT pdf_id, (page * 100 + rid // {ROWS_A_SHEET})::INT AS page, table_id, (rid % {ROWS_A_SHEET})::INT AS rid, cid, value, {SIDEWAYS} AS side FROM cells)""",
     "areas": f"""areas AS (SELECT pdf_id, page, 0 AS table_id, {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in AREA.items())} FROM sheets)""",
 }
 

@@ -333,6 +333,12 @@ UNION ALL SELECT pdf_id, page, band, "right", 79, CASE WHEN "right" = 1 THEN 0 E
 m AS (SELECT *, max(y1) OVER (PARTITION BY pdf_id, page ORDER BY y0, y1, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t),
 b AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY pdf_id, page ORDER BY y0, y1, seq ROWS UNBOUNDED PRECEDING) - 1 AS band FROM m)
 SELECT pdf_id, page, band::BIGINT AS band, min(y0) AS top, max(y1) AS bottom, count(*) AS glyphs FROM b GROUP BY pdf_id, page, band""",
+        "table_meta": f"""{ctes("cells", "printed")}, t AS (SELECT {T}, bool_or(side) AS side, sum(length(value)) AS n, max(rid) AS last FROM printed GROUP BY {T}),
+u AS (SELECT *, side AND n >= 10 AS turned, side AND n < 10 AS lies, 16.0 AS a, 56.0 AS b, 590.0 AS c, 72.0 + 12 * last AS d FROM t)
+SELECT {T}, CASE WHEN n = 0 THEN 'xml' END AS error, CASE WHEN n > 0 THEN CASE WHEN turned THEN 'left' ELSE 'up' END END AS direction,
+  CASE WHEN n > 0 THEN round(CASE WHEN lies THEN b ELSE a END / 620, 6) END AS x0, CASE WHEN n > 0 THEN round(CASE WHEN lies THEN 620 - c ELSE b END / 620, 6) END AS y0,
+  CASE WHEN n > 0 THEN round(CASE WHEN lies THEN d ELSE c END / 620, 6) END AS x1, CASE WHEN n > 0 THEN round(CASE WHEN lies THEN 620 - a ELSE d END / 620, 6) END AS y1,
+  CASE WHEN n > 0 THEN 8.0::DOUBLE END AS space_threshold, CASE WHEN n > 0 THEN 54.0::DOUBLE END AS column_threshold, 'unframed' AS table_type FROM u""",
         "table_type": "SELECT l_suppkey AS pdf_id, l_linenumber AS page, 0 AS table_id, CASE WHEN sum(l_partkey % 50) > 2000 THEN 'framed' ELSE 'unframed' END AS table_type FROM lineitem GROUP BY ALL",
         "incremental_ingest": "SELECT regexp_extract(url, '://([^/]*)', 1) AS host, count(*) AS pages, sum(length(html))::BIGINT AS chars FROM pages GROUP BY host",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulith.functions import cells as fc
 from tabulith.functions import papers as fp
 from tabulith.functions.text import strip
-from tabulith.operators import classifier, fuse, gates, grid, layout
+from tabulith.operators import classifier, extract, fuse, gates, grid, layout
 from tabulith.operators import papers as op
 from tabulith.plans import fixtures as fx
 from tabulith.plans import oracles
@@ -408,6 +408,26 @@ def table_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.rule_lines(segments, gates.TABLE)
 
 
+# ---- extraction -------------------------------------------------------------------------
+
+
+@query
+def table_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = extract.table_meta(*fx.printed(spark, sf_dir))
+    return got.select(*gates.TABLE, "error", "direction", *[F.round(c, 6).alias(c) for c in layout.BOX], "space_threshold", "column_threshold", "table_type")
+
+
+@query
+def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of all accepted tables, from glyphs."""
+    return extract.extract(*fx.printed(spark, sf_dir)).cells
+
+
+@query
+def extract_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(*fx.printed(spark, sf_dir)).marks.select("pdf_id", "has_header", F.to_json("table_marks").alias("table_marks"))
+
+
 # ---- increments -------------------------------------------------------------------------
 
 
