@@ -1,8 +1,9 @@
 """Page layout: glyphs, boxes and ink profiles as range joins, windows and aggregates.
 
 Glyphs are rows (pdf_id, page, seq, ch, font, x0, y0, x1, y1, size) with the origin at the top
-left; boxes are (x0, y0, x1, y1). Range joins carry a bucket of heights as an equi key, so
-Spark hashes them and no task sees more than a page's strip.
+left; boxes are (x0, y0, x1, y1). Range joins are hash joins by page with the range as their
+condition: glyphs are shuffled once, by page, and what follows is aggregated in the same
+partitioning. A page's areas are the build side, and a page bounds their number.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 PAGE = ["pdf_id", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
-STRIP = 64.0
 #: What an area without any glyph is treated as: the column threshold and the space threshold.
 NO_GLYPHS = (50.55555, 1.4)
 
@@ -59,18 +59,12 @@ def on_page(areas: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def within(glyphs: DataFrame, areas: DataFrame, closed: bool = True) -> DataFrame:
-    """Glyphs with every area of their page that contains them; area columns are prefixed with a_.
-
-    A contained glyph begins inside the area, so areas go to all strips of the page that they
-    meet and a glyph looks only in the strip in which it begins.
-    """
-    named = areas.select(*[F.col(c).alias(c if c in PAGE else f"a_{c}") for c in areas.columns])
-    strips = F.sequence(F.floor(F.col("a_y0") / STRIP), F.floor(F.col("a_y1") / STRIP))
-    named = named.where("a_y1 >= a_y0").withColumn("strip", F.explode(strips))
+    """Glyphs with every area of their page that contains them; area columns are prefixed with a_."""
+    named = areas.select(*[F.col(c).alias(c if c in PAGE else f"a_{c}") for c in areas.columns]).where("a_y1 >= a_y0")
     inside = (F.col("a_x0") <= F.col("x0")) & (F.col("a_y0") <= F.col("y0")) & (F.col("x1") <= F.col("a_x1")) & (F.col("y1") <= F.col("a_y1"))
     if not closed:
         inside = (F.col("a_x0") < F.col("x0")) & (F.col("a_y0") < F.col("y0")) & (F.col("x1") < F.col("a_x1")) & (F.col("y1") < F.col("a_y1"))
-    return glyphs.withColumn("strip", F.floor(F.col("y0") / STRIP)).join(named, [*PAGE, "strip"]).where(inside).drop("strip")
+    return glyphs.join(named.hint("shuffle_hash"), PAGE).where(inside)
 
 
 def in_order(place: str = "seq", what: str = "ch") -> Column:
