@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulith.llm.common import staged
+from tabulith.llm.common import released, staged
 
 CHUNK_CHARS = 32 << 20
 CHUNK_ROWS = 32768
@@ -50,7 +50,6 @@ LEVEL = 6  # of compression: what is written and shuffled is mostly ranks
 COMMON = 255  # ranks below it take one byte, others go to a stream of their own
 MAX_VOCABULARY = 1 << 20
 BUCKET_BYTES = 32 << 20
-MAX_WORDS = 1 << 20  # that a task remembers; beyond, words are merged again
 
 
 @lru_cache(maxsize=4)
@@ -207,24 +206,26 @@ def _merge(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct word of this task's buckets is merged once; its ids go back to every chunk that has it, with the tokens that are new there."""
         ranks = _ranks(name)
-        known: dict[bytes, list[int]] = {}
-        told: defaultdict[int, set[int]] = defaultdict(set)
+        known: dict[bytes, list[int]] = {}  # of one bucket: rows come by bucket
+        told = defaultdict(lambda: np.zeros(max(ranks.values()) + 1, dtype=bool))
+        here = None
         for batch in batches:
             out, tokens = [], []
-            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for chunk, payload, bucket in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != here:
+                    known, here = {}, bucket
                 places, sizes, words = _unpack(payload, "iib")
                 ids = []
                 for w in _cut(words, sizes):
                     got = known.get(w)
                     if got is None:
-                        if len(known) >= MAX_WORDS:
-                            known.clear()
                         got = known[w] = merge(w, ranks)
                     ids.append(got)
-                flat = np.array([i for x in ids for i in x])
-                new = set(flat.tolist()) - told[chunk]
-                told[chunk] |= new
-                tokens.append(sorted(new))
+                flat = np.array([i for x in ids for i in x], dtype=np.int64)
+                new = np.unique(flat)
+                new = new[~told[chunk][new]]
+                told[chunk][new] = True
+                tokens.append(new.astype(np.int32))
                 out.append(_pack(places, np.array([len(x) for x in ids]), flat))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], schema=schema)
 
@@ -286,9 +287,12 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", ids: bool
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     made = T.StructType().add("chunk", "long").add("bucket", "integer").add("doc_ids", T.ArrayType(kind)).add("payload", "binary")
-    chunks = staged(read.mapInArrow(_chunks(buckets, to_arrow_schema(made)), made), "bpe-chunks")
+    cutting = _chunks(buckets, to_arrow_schema(made))
+    chunks = staged(read.mapInArrow(lambda batches: released(cutting(batches)), made), "bpe-chunks")
     words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "payload", "bucket")
-    merged = words.repartition(F.col("bucket")).select("chunk", "payload").mapInArrow(_merge(name), "chunk long, payload binary, tokens array<int>")
+    merging = _merge(name)
+    sorted_words = words.repartition(F.col("bucket")).sortWithinPartitions("bucket").select("chunk", "payload", "bucket")
+    merged = sorted_words.mapInArrow(lambda batches: released(merging(batches)), "chunk long, payload binary, tokens array<int>")
     each = merged.select("chunk", "payload", F.posexplode_outer("tokens").alias("pos", "id")).withColumn("payload", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("payload")))
     joined = each.join(F.broadcast(token_bytes(spark, name)), "id", "left").select("chunk", "payload", "id", "bytes")
     texts = chunks.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "payload")

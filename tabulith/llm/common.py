@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.sources.stages import staged
 
-__all__ = ["held_out", "staged", "table"]
+__all__ = ["held_out", "released", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text leaves remainder 0 by 5; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def released(results: Iterator) -> Iterator:
+    """The results of a task; after the last its worker, which Spark keeps for later tasks, gives freed memory back to the system."""
+    try:
+        yield from results
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

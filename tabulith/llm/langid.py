@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import staged
+from tabulith.llm.common import released, staged
 
 ORDER = 4
 DOCS_A_LANG = 256
@@ -42,7 +42,7 @@ CALIBRATION_DOCS = 200
 MAX_GRAMS = 1 << 20
 REJECT_MARGIN = 1.2
 REJECT_CHARS = 64
-SLICE = 1 << 20
+SLICE = 1 << 18
 UNDETERMINED = "und"
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -323,13 +323,16 @@ OUTPUT = "lang_pred string, score double, bits double, rejected boolean"
 def _scored(docs: DataFrame, model: Model, row) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the sum of the models: bounded by the fitting sample
 
-    @F.pandas_udf(OUTPUT)
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for t in texts:
             rows = [x for lo in range(0, len(t), 256) for x in model.predict(t.iloc[lo : lo + 256].tolist())]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "bits", "rejected"])
 
+    @F.pandas_udf(OUTPUT)
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(predicted(texts))
+
     got = docs.select(row, scored(F.col("text").cast("string")).alias("got"))
     return got.select("row", "got.*")
 

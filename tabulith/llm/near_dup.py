@@ -44,14 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import staged
+from tabulith.llm.common import released, staged
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
 M = BANDS * ROWS
 SLACK = 4.0
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 MAX_BITS = 1 << 28
 MAX_CELLS = 1 << 22
 _U = np.uint64
@@ -295,7 +295,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("key").alias("a"), F.col("elements").alias("ea"))
     two = sets.select(F.col("key").alias("b"), F.col("elements").alias("eb"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb")
-    return staged(rows.mapInArrow(_common, "a binary, b binary"), "neardup-linked")
+    return staged(rows.mapInArrow(lambda batches: released(_common(batches)), "a binary, b binary"), "neardup-linked")
 
 
 def joined(sets: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    rows = staged(read.where("text is not null").mapInArrow(_signed_rows, f"doc_id {kind}, text_hash long, key binary, n long, bands array<long>"), "neardup-rows")
+    rows = staged(read.where("text is not null").mapInArrow(lambda batches: released(_signed_rows(batches)), f"doc_id {kind}, text_hash long, key binary, n long, bands array<long>"), "neardup-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     nodes = staged(rows.groupBy("key").agg(first.alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "neardup-nodes")
     member = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("at", "hash"))
@@ -359,7 +359,7 @@ def classes(docs: DataFrame) -> DataFrame:
     bits = np.zeros(size // 8, dtype=np.uint8)
     for r in maps:
         bits[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(r.bits, dtype=np.uint8)
-    found = read.where("text is not null").select(F.xxhash64("doc_id", "text_hash").alias("h"), "text").mapInArrow(_set_rows(bits), "key binary, elements binary")
+    found = read.where("text is not null").select(F.xxhash64("doc_id", "text_hash").alias("h"), "text").mapInArrow(lambda batches: released(_set_rows(bits)(batches)), "key binary, elements binary")
     sets = staged(found.groupBy("key").agg(F.first("elements").alias("elements")).join(wanted, "key", "left_semi"), "neardup-sets")
     # each text against all its hubs
     links = linked(stars, sets)
