@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from tabulith.llm.common import released, staged
 
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 24 << 20
 CHUNK_ROWS = 32768
 TEXTS_A_ROW, WORDS_A_ROW = 1024, 1 << 19  # a row ends at either
 LEVEL = 6  # of compression: what is written and shuffled is mostly ranks
@@ -234,16 +234,21 @@ def _merge(name: str):
 
 def _reassemble(want_ids: bool, digest: bool, schema: pa.Schema):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = dict(zip(words.column("id").to_pylist(), words.column("bytes").to_pylist(), strict=True))
+        rows = words.select(["id", "bytes"]).drop_null()
+        table = dict(zip(rows.column("id").to_pylist(), rows.column("bytes").to_pylist(), strict=True))
         parts = [_unpack(p, "iii") for p in words.column("payload").drop_null().to_pylist()]
         ranks = np.concatenate([np.cumsum(r) for r, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
         sizes = np.concatenate([n for _, n, _ in parts]).astype(np.int64) if parts else ranks
         flat = np.concatenate([i for _, _, i in parts]) if parts else ranks.astype(np.int32)
         starts, lengths = np.empty_like(ranks), np.empty_like(ranks)
         starts[ranks], lengths[ranks] = np.cumsum(sizes) - sizes, sizes
-        listed = [flat[a : a + n].tolist() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)] if digest else []
-        shown = [",".join(map(str, x)) for x in listed]
-        plain = [b"".join([table[i] for i in x]) for x in listed]
+        shown, plain = [], []
+        if digest:
+            decimal = {i: str(i) for i in table}
+            for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+                word = flat[a : a + n].tolist()
+                shown.append(",".join([decimal[i] for i in word]))
+                plain.append(b"".join([table[i] for i in word]))
         doc_ids: list = []
         totals, gathered, digests = [], [], []
         for own, payload in zip(texts.column("doc_ids").to_pylist(), texts.column("payload").to_pylist(), strict=True):
@@ -269,6 +274,8 @@ def _reassemble(want_ids: bool, digest: bool, schema: pa.Schema):
             columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(gathered) if gathered else flat, pa.int32())))
         if digest:
             columns += [pa.array([d[k] for d in digests], pa.string()) for k in (0, 1)]
+        del table, parts, shown, plain
+        list(released(iter(())))
         return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
 
     return run
