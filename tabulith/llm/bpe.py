@@ -6,16 +6,17 @@ Encoding:
    pre-tokens in that list (a row per text).
 2. The chunks' lists are shuffled by bucket, so equal words of all chunks meet in one task,
    which merges each distinct word once. There are as many buckets as BUCKET_BYTES of text.
-3. Ids go back to their chunks, joined with the token-byte table; there texts are reassembled by
-   position, once as ids and once as the bytes of their tokens.
+3. Ids go back to their chunks; there each distinct word's ids are joined with the broadcast
+   token-byte table, and texts are reassembled by position, once as ids and once as those bytes.
 
 The chunks are written once to the shared folder: their borders then can't change when an
 executor is lost, and words and positions are read as two branches of the same rows.
 No key is hot: a chunk adds each word once, however frequent it is.
 
 Decoding joins the token-byte table (at most MAX_VOCABULARY rows, so it may be broadcast)
-and concatenates by position: for whole texts from the distinct tokens of a chunk, and in
-``decode`` from ids alone.
+and concatenates by position: with ``digest`` as a map-side join in the reassembling task, and in
+``decode``, from ids alone, as a join of exploded ids. The former spares a row for each chunk and
+token, whose number grows with the chunks.
 
 Null texts count as empty; an empty text has no ids. Texts of any length are encoded whole.
 Repeated rows stay apart: a text is known by its chunk and row, not by its id, which may be
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,17 +203,16 @@ def _chunks(buckets: int, schema: pa.Schema):
 
 
 def _merge(name: str):
-    schema = pa.schema([("chunk", pa.int64()), ("payload", pa.binary()), ("tokens", pa.list_(pa.int32()))])
+    schema = pa.schema([("chunk", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct word of this task's buckets is merged once; its ids go back to every chunk that has it, with the tokens that are new there."""
+        """Each distinct word of this task's buckets is merged once; its ids go back to every chunk that has it."""
         ranks = _ranks(name)
         known: dict[bytes, list[int]] = {}  # of one bucket: rows come by bucket
-        told = defaultdict(lambda: np.zeros(max(ranks.values()) + 1, dtype=bool))
         here = None
         for batch in batches:
-            out, tokens = [], []
-            for chunk, payload, bucket in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out = []
+            for payload, bucket in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if bucket != here:
                     known, here = {}, bucket
                 places, sizes, words = _unpack(payload, "iib")
@@ -221,22 +222,15 @@ def _merge(name: str):
                     if got is None:
                         got = known[w] = merge(w, ranks)
                     ids.append(got)
-                flat = np.array([i for x in ids for i in x], dtype=np.int64)
-                new = np.unique(flat)
-                new = new[~told[chunk][new]]
-                told[chunk][new] = True
-                tokens.append(new.astype(np.int32))
-                out.append(_pack(places, np.array([len(x) for x in ids]), flat))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], schema=schema)
+                out.append(_pack(places, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x])))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], schema=schema)
 
     return run
 
 
-def _reassemble(want_ids: bool, digest: bool, schema: pa.Schema):
+def _reassemble(tokens: Broadcast, want_ids: bool, digest: bool, schema: pa.Schema):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        rows = words.select(["id", "bytes"]).drop_null()
-        table = dict(zip(rows.column("id").to_pylist(), rows.column("bytes").to_pylist(), strict=True))
-        parts = [_unpack(p, "iii") for p in words.column("payload").drop_null().to_pylist()]
+        parts = [_unpack(p, "iii") for p in words.column("payload").to_pylist()]
         ranks = np.concatenate([np.cumsum(r) for r, _, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
         sizes = np.concatenate([n for _, n, _ in parts]).astype(np.int64) if parts else ranks
         flat = np.concatenate([i for _, _, i in parts]) if parts else ranks.astype(np.int32)
@@ -244,6 +238,7 @@ def _reassemble(want_ids: bool, digest: bool, schema: pa.Schema):
         starts[ranks], lengths[ranks] = np.cumsum(sizes) - sizes, sizes
         shown, plain = [], []
         if digest:
+            table = tokens.value  # the token-byte table: joined with the ids of every distinct word
             decimal = {i: str(i) for i in table}
             for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
                 word = flat[a : a + n].tolist()
@@ -274,7 +269,7 @@ def _reassemble(want_ids: bool, digest: bool, schema: pa.Schema):
             columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(gathered) if gathered else flat, pa.int32())))
         if digest:
             columns += [pa.array([d[k] for d in digests], pa.string()) for k in (0, 1)]
-        del table, parts, shown, plain
+        del parts, shown, plain
         list(released(iter(())))
         return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
 
@@ -299,14 +294,13 @@ def encode(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", ids: bool
     words = chunks.where(F.col("bucket").isNotNull()).select("chunk", "payload", "bucket")
     merging = _merge(name)
     sorted_words = words.repartition(F.col("bucket")).sortWithinPartitions("bucket").select("chunk", "payload", "bucket")
-    merged = sorted_words.mapInArrow(lambda batches: released(merging(batches)), "chunk long, payload binary, tokens array<int>")
-    each = merged.select("chunk", "payload", F.posexplode_outer("tokens").alias("pos", "id")).withColumn("payload", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("payload")))
-    joined = each.join(F.broadcast(token_bytes(spark, name)), "id", "left").select("chunk", "payload", "id", "bytes")
+    merged = sorted_words.mapInArrow(lambda batches: released(merging(batches)), "chunk long, payload binary")
     texts = chunks.where(F.col("bucket").isNull()).select("chunk", "doc_ids", "payload")
     out = T.StructType().add("doc_id", kind).add("n_tokens", "long")
     out = out.add("ids", T.ArrayType(T.IntegerType())) if ids else out
     out = out.add("ids_sha256", "string").add("decoded_sha256", "string") if digest else out
-    return texts.groupBy("chunk").cogroup(joined.groupBy("chunk")).applyInArrow(_reassemble(ids, digest, to_arrow_schema(out)), out)
+    tokens = spark.sparkContext.broadcast({i: b for b, i in _ranks(name).items()} if digest else {})  # MAX_VOCABULARY rows at most
+    return texts.groupBy("chunk").cogroup(merged.groupBy("chunk")).applyInArrow(_reassemble(tokens, ids, digest, to_arrow_schema(out)), out)
 
 
 def token_bytes(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
