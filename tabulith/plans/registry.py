@@ -423,11 +423,6 @@ def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(*fx.printed(spark, sf_dir)).cells
 
 
-@query
-def extract_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(*fx.printed(spark, sf_dir)).marks.select("pdf_id", "has_header", F.to_json("table_marks").alias("table_marks"))
-
-
 # ---- increments -------------------------------------------------------------------------
 
 

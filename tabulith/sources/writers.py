@@ -18,9 +18,17 @@ def write_detections(detections: DataFrame, path: str) -> None:
     pages.select(F.format_string("%s.pdf_%03d:%s", F.col("pdf_id").cast("string"), "page", "boxes").alias("value")).write.mode("append").text(path)
 
 
+#: Folders of a sink: as many at any number of papers.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.col("pdf_id").cast("string")), F.lit(BUCKETS)))
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Tables in long form by paper; a merged cell has its text at the top left, and empty texts elsewhere."""
-    cells.write.mode("append").partitionBy("pdf_id").parquet(path)
+    """Tables in long form by a bucket of the paper; a merged cell has its text at the top left, and empty texts elsewhere."""
+    _bucketed(cells).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def spread(units: DataFrame) -> DataFrame:
@@ -32,9 +40,9 @@ def spread(units: DataFrame) -> DataFrame:
 
 
 def write_table_sheets(cells: DataFrame, path: str, columns: int) -> None:
-    """Tables as wide CSV by paper, ``columns`` wide; rows in order."""
+    """Tables as wide CSV by a bucket of the paper, ``columns`` wide; rows in order."""
     wide = cells.groupBy(*TABLE, "rid").pivot("cid", list(range(columns))).agg(F.first("value"))
-    wide.repartition(*[F.col(k) for k in TABLE]).sortWithinPartitions(*TABLE, "rid").write.mode("append").partitionBy("pdf_id").csv(path)
+    _bucketed(wide).repartition(*[F.col(k) for k in TABLE]).sortWithinPartitions("bucket", *TABLE, "rid").write.mode("append").partitionBy("bucket").csv(path)
 
 
 def write_captions(captions: DataFrame, path: str) -> None:

@@ -24,7 +24,7 @@ def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, targe
 
 
 def upsert_stream(spark: SparkSession, source: str, schema: str, checkpoint: str, target: str, step: Step, merge: Step, files_a_batch: int = 1000) -> None:
-    """Last-write-wins in increments: each batch's facts are appended under their batch, and merge gives the state from all of them.
+    """Last-write-wins in increments: each batch's facts are appended under their batch, and merge gives the next version of the state from all of them.
 
     Facts are immutable and a batch that is run again overwrites its own folder, so a lost executor
     or driver can't count twice.
@@ -36,4 +36,17 @@ def upsert_stream(spark: SparkSession, source: str, schema: str, checkpoint: str
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
     query = reader.parquet(source).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    merge(spark.read.parquet(f"{target}/facts")).write.mode("overwrite").parquet(f"{target}/state")
+    done = versions(spark, target)
+    merge(spark.read.parquet(f"{target}/facts")).write.mode("overwrite").parquet(f"{target}/state-{max(done, default=-1) + 1}")
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The versions of a state that were written to the end."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/state-*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("state-")) for f in found)
+
+
+def state(spark: SparkSession, target: str) -> DataFrame:
+    """The last whole version of the state of ``upsert_stream``; a run that dies while it writes one leaves the version before."""
+    return spark.read.parquet(f"{target}/state-{versions(spark, target)[-1]}")

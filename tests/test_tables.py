@@ -232,7 +232,7 @@ def test_an_adapter_reports_what_a_paper_raises(spark):
 
 
 def test_increments_read_each_file_once(spark, tmp_path):
-    from tabulith.streaming import ingest, upsert_stream
+    from tabulith.streaming import ingest, state, upsert_stream
 
     source, root = f"file://{tmp_path}/in", f"file://{tmp_path}"
     facts = lambda rows: spark.createDataFrame(rows, "k string, v int, at int").coalesce(1)
@@ -243,4 +243,16 @@ def test_increments_read_each_file_once(spark, tmp_path):
     assert run() == 3
     merge = lambda df: df.groupBy("k").agg(F.max_by("v", "at").alias("v"))
     upsert_stream(spark, source, "k string, v int, at int", f"{root}/c2", f"{root}/state", lambda df: df, merge)
-    assert {r.k: r.v for r in spark.read.parquet(f"{root}/state/state").collect()} == {"a": 5, "b": 2}
+    assert {r.k: r.v for r in state(spark, f"{root}/state").collect()} == {"a": 5, "b": 2}
+
+
+def test_states_are_versions(spark, tmp_path):
+    from tabulith.streaming import state, upsert_stream, versions
+
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    merge = lambda facts: facts.groupBy("k").agg(F.max_by("v", "at").alias("v"))
+    for n in range(2):
+        spark.createDataFrame([(1, n, f"v{n}"), (2 + n, n, "once")], "k int, at int, v string").write.mode("append").parquet(source)
+        upsert_stream(spark, source, "k int, at int, v string", f"file://{tmp_path}/checkpoint", target, lambda rows: rows, merge)
+        assert versions(spark, target) == list(range(n + 1))
+        assert {r.k: r.v for r in state(spark, target).collect()} == {1: f"v{n}", **{2 + i: "once" for i in range(n + 1)}}
