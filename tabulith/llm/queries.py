@@ -12,44 +12,53 @@ from tabulith.llm.common import held_out, table
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id of every document. Nulls, ties, repeated rows and empty tables: see ``near_dup``."""
     return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: doc_id, size, source_size, target, taken, and the shards of the copies. Awkward input: see ``mixing``."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as WebP and read back: sizes, digests and features. Awkward input: see ``webp``."""
     return webp.described(webp.stored(table(spark, sf_dir, "documents")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both views, learned from labels that are not held out. Awkward input: see ``quality``."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = quality.learn(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~held_out()))
     return quality.score(docs, model).select("row.doc_id", "row.held_out", "score", "content", "metadata", "predicted")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by digest, and the digest of the bytes decoded from them. Awkward input: see ``bpe``."""
     return bpe.encode(table(spark, sf_dir, "documents"), ids=False, digest=True)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows that are not held out. Awkward input: see ``langid``."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     got = langid.predict(docs, langid.learn(docs.where("not held_out")))
     return got.select("row.doc_id", "row.held_out", "lang_pred", "score", "bits", "rejected")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out. Awkward input: see ``toxicity``."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = toxicity.learn(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~held_out()))
     return toxicity.score(docs, model).select("row.doc_id", "row.held_out", "score", "predicted")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest products of each query vector. Awkward input: see ``topk``."""
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: counts and digest of base spans, and all spans. Awkward input: see ``pii``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = pii.detect(docs, pii.learn(docs))
     return got.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -60,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Awkward input: see ``wrapper``."""
     got = wrapper.main_texts(table(spark, sf_dir, "pages"))
     return got.select("row.page_id", "row.url", "text", "n_chars")
 
