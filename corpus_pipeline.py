@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and gives the documents for the next one, with the same
 columns; the last gives token ids. Every stage works on all that its predecessor kept.
+
+An empty table goes through all stages and gives an empty result. Texts of any length are read whole
+in each. Null texts go in the first stage; given to a later one, each stays a row of its own. Ties
+(of languages by name, of documents by doc_id, of places in the mix by hash) are settled alike on
+every run. Extra columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
