@@ -10,11 +10,15 @@ all bits; decoding is then one step from place to place for each literal pixel,
 back-references are read one by one. Memory is bounded by SLICE_BITS, not by the image.
 
 A payload is stored three bytes a pixel (red, green, blue), WIDTH pixels a row, and in several
-images if it needs more than MAX_ROWS rows. Runs of one pixel become back-references, and an
-image of few colours a palette. Other means of the format don't shorten text, but a store must
-be readable whatever wrote it: one in SHARES payloads, by its checksum, is stored with each of
-the predictor, cross-colour and subtract-green transforms, a colour cache, and several groups of
-prefix codes, so that every stored column exercises all of the decoder.
+images if it needs more than MAX_ROWS rows. Every image is stored with all of the format's means:
+the subtract-green, cross-colour and predictor transforms, a colour cache, groups of prefix codes
+by blocks, back-references for runs, and a palette before them if its colours are few. Predictors
+go round from block to block, from a first one that follows from the payload's checksum (SHARES),
+so an image of six blocks has six of the 14 and a column has all. This lengthens text.
+
+``store_many`` and ``decode_many`` do in numpy, for up to LANES images side by side, what ``encode``
+and ``decode`` do for one: each step reads a token of every stream, or adds a prediction to a pixel
+of every row. Streams of other encoders that don't fit that go through ``decode``.
 
 Null texts count as empty, so their payload is PAD alone. Equal texts give equal bytes. Texts of
 any length are stored whole. An empty table gives an empty result; other columns are not read.
@@ -26,15 +30,16 @@ import hashlib
 import heapq
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import staged
+from tabulith.llm.common import released, staged
 
 PAD, UNIT = 255, 576
 WIDTH = UNIT // 3
@@ -42,6 +47,7 @@ MAX_ROWS = 1 << 14
 SLICE_BITS = 1 << 20
 RUN_LEAST, RUN_SHARE, COPY_MOST = 6, 4, 4096
 SHARES, SHARE_BITS, CACHE_BITS = 256, 5, 6
+LANES, LANE_PIXELS, STORE_PIXELS, SLICE_BYTES, LEAST_LANES, TABLE_BITS, CODE_BITS = 4096, 1 << 22, 1 << 18, 8 << 20, 4, 11, 9
 GREENS, LENGTHS, DISTANCES = 256, 24, 40
 # Fixed values of the format: the order of the code lengths of code lengths, and the hash factor of the colour cache.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -456,8 +462,11 @@ def take_predictions(argb: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarr
 
 def cross_colour(argb: np.ndarray, factors: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """sign 1 adds what green says of red and blue, and red of blue (decoding); -1 takes it away."""
-    height, width = argb.shape
-    f = _modes(factors, bits, width, height)
+    return _crossed(argb, _modes(factors, bits, argb.shape[1], argb.shape[0]), sign)
+
+
+def _crossed(argb: np.ndarray, f: np.ndarray, sign: int) -> np.ndarray:
+    """cross_colour with the factors of each pixel."""
     signed = lambda x: (x & np.uint32(255)).astype(np.uint8).view(np.int8).astype(np.int32)
     green, red, blue = signed(argb >> np.uint32(8)), (argb >> np.uint32(16) & np.uint32(255)).astype(np.int32), (argb & np.uint32(255)).astype(np.int32)
     changed = (red + sign * (signed(f) * green >> 5)) & 255
@@ -490,14 +499,8 @@ def from_palette(packed: np.ndarray, palette: np.ndarray, width: int) -> np.ndar
 # ---- images -----------------------------------------------------------------------------
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The image's pixels, [row, column], as ARGB."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
-        raise Corrupt("no lossless WebP image")
-    r = Reader(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
-    width, height, _, version = r.read(14) + 1, r.read(14) + 1, r.read(1), r.read(3)
-    if version:
-        raise Corrupt("an unknown version")
+def _transforms(r: Reader, width: int, height: int, image: Callable) -> tuple[list[tuple], int]:
+    """Each transform with the width to which it leads back, its data and the bits of its blocks; and the width of the coded image."""
     todo, x = [], width
     while r.read(1):
         kind = r.read(2)
@@ -506,15 +509,33 @@ def decode(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             bits = r.read(3) + 2
             shape = (_blocks(height, bits), _blocks(x, bits))
-            todo.append((kind, x, _image(r, shape[1], shape[0], False).reshape(shape), bits))
+            todo.append((kind, x, image(r, shape[1], shape[0], False).reshape(shape), bits))
         elif kind == PALETTE:
             n = r.read(8) + 1
-            steps = _channels(_image(r, n, 1, False))
+            steps = _channels(image(r, n, 1, False))
             palette = _joined(np.cumsum(steps, axis=0, dtype=np.int64) & 255)
             todo.append((kind, x, palette, 0))
             x = _blocks(x, _bundle_bits(n))
         else:
             todo.append((kind, x, None, 0))
+    return todo, x
+
+
+def _opened(data: bytes) -> tuple[Reader, int, int]:
+    """The stream behind the file's header, and the image's width and height."""
+    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+        raise Corrupt("no lossless WebP image")
+    r = Reader(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
+    width, height, _, version = r.read(14) + 1, r.read(14) + 1, r.read(1), r.read(3)
+    if version:
+        raise Corrupt("an unknown version")
+    return r, width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The image's pixels, [row, column], as ARGB."""
+    r, width, height = _opened(data)
+    todo, x = _transforms(r, width, height, _image)
     argb = _image(r, x, height, True).reshape(height, x)
     for kind, own, extra, bits in reversed(todo):
         if kind == PREDICTOR:
@@ -713,6 +734,29 @@ def _palette(argb: np.ndarray) -> np.ndarray | None:
     return colours if len(colours) <= 256 else None
 
 
+def _tell_palette(w: Writer, palette: np.ndarray) -> None:
+    w.put(len(palette) - 1, 8)
+    c = _channels(palette)
+    _write(w, _joined(np.diff(c, axis=0, prepend=np.zeros((1, 4), dtype=np.int16)) & 255)[None, :], False)
+
+
+def _packed(argb: np.ndarray, palette: np.ndarray) -> np.ndarray:
+    """Indices in the palette, several a pixel where it is small: the inverse of from_palette."""
+    height, width = argb.shape
+    bundle = _bundle_bits(len(palette))
+    across = _blocks(width, bundle)
+    padded = np.zeros((height, across << bundle), dtype=np.uint32)
+    padded[:, :width] = np.searchsorted(palette, argb)
+    shifts = np.arange(1 << bundle, dtype=np.uint32) * np.uint32(8 >> bundle)
+    return np.uint32(0xFF000000) | (padded.reshape(height, across, -1) << shifts).sum(axis=2).astype(np.uint32) << np.uint32(8)
+
+
+def _file(stream: bytes) -> bytes:
+    body = b"\x2f" + stream
+    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+
+
 def encode(argb: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, groups: np.ndarray | None = None, modes: np.ndarray | None = None, factors: np.ndarray | None = None, bits: int = 2) -> bytes:
     """A lossless WebP file of ARGB pixels [row, column].
 
@@ -736,53 +780,647 @@ def encode(argb: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int =
             palette = _palette(argb)
             if palette is None:
                 raise ValueError("more than 256 colours")
-            w.put(len(palette) - 1, 8)
-            c = _channels(palette)
-            _write(w, _joined(np.diff(c, axis=0, prepend=np.zeros((1, 4), dtype=np.int16)) & 255)[None, :], False)
-            index = np.searchsorted(palette, argb).astype(np.uint32)
-            bundle = _bundle_bits(len(palette))
-            across = _blocks(argb.shape[1], bundle)
-            padded = np.zeros((height, across << bundle), dtype=np.uint32)
-            padded[:, : argb.shape[1]] = index
-            shifts = np.arange(1 << bundle, dtype=np.uint32) * np.uint32(8 >> bundle)
-            argb = np.uint32(0xFF000000) | (padded.reshape(height, across, -1) << shifts).sum(axis=2).astype(np.uint32) << np.uint32(8)
+            _tell_palette(w, palette)
+            argb = _packed(argb, palette)
     w.put(0, 1)
     _write(w, argb, True, cache_bits, groups, bits)
-    body = b"\x2f" + w.bytes()
-    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+    return _file(w.bytes())
 
 
-def _means(argb: np.ndarray, share: int) -> dict:
-    """How an image of this share of the payloads is stored; values of blocks follow from their places."""
-    blocks = tuple(_blocks(n, SHARE_BITS) for n in argb.shape)
-    place = np.arange(blocks[0] * blocks[1], dtype=np.uint32).reshape(blocks)
-    if share == 0:
-        return {"transforms": (PREDICTOR,), "modes": (place % 14) << np.uint32(8), "bits": SHARE_BITS}
-    if share == 1:
-        return {"transforms": (CROSS_COLOUR,), "factors": place * np.uint32(0x050301) & np.uint32(0x1F1F1F), "bits": SHARE_BITS}
-    if share == 2:
-        return {"transforms": (SUBTRACT_GREEN,)}
-    if share == 3:
-        return {"cache_bits": CACHE_BITS}
-    if share == 4:
-        return {"groups": place % 2, "bits": SHARE_BITS}
-    colours = _palette(argb)
-    return {"transforms": (PALETTE,)} if colours is not None and 4 * len(colours) <= argb.size else {}
+# ---- many images at once ----------------------------------------------------------------
 
 
-def store(raw: bytes) -> list[bytes]:
+def _code_lengths_at_once(counts: np.ndarray, longest: int) -> np.ndarray:
+    """Huffman code lengths of each row of counts, none above ``longest``; a row without counts gets its first symbol."""
+    used = np.count_nonzero(counts, axis=1)
+    lengths = np.zeros(counts.shape, dtype=np.uint8)
+    lengths[used == 1] = counts[used == 1] > 0
+    lengths[used == 0, 0] = 1
+    rows = np.flatnonzero(used > 1)
+    if not len(rows):
+        return lengths
+    rows = rows[np.argsort(-used[rows], kind="stable")]
+    used = used[rows]
+    most = int(used[0])
+    absent = np.int64(1) << 60
+    weight = counts[rows] << 12 | np.arange(counts.shape[1])
+    weight[counts[rows] == 0] = absent
+    weight = np.sort(weight, axis=1)[:, :most]
+    order, weight = weight & 4095, weight >> 12
+    across = most + 1
+    # the two queues of each row: symbols by weight, and nodes in the order in which they are made
+    queue = np.full((2, len(rows), across), absent, dtype=np.int64)
+    queue[0, :, :most] = np.where(np.arange(most) < used[:, None], weight, absent)
+    leaf, node = queue[0].ravel(), queue[1].ravel()
+    parent = np.zeros(2 * len(rows) * across, dtype=np.int64)
+    to_node = len(rows) * across
+    begin = np.arange(len(rows)) * across
+    i, j = begin.copy(), begin.copy()
+    active = [int(np.searchsorted(-used, -step - 1)) for step in range(most - 1)]  # rows with a node of this number
+    for step, n in enumerate(active):
+        total = np.zeros(n, dtype=np.int64)
+        p, q = i[:n], j[:n]
+        for _ in range(2):
+            a, b = leaf.take(p), node.take(q)
+            first = a <= b
+            parent[np.where(first, p, q + to_node)] = step
+            total += np.where(first, a, b)
+            p += first
+            q += ~first
+        node[begin[:n] + step] = total
+    depth = np.zeros(to_node, dtype=np.int64)
+    for step in range(most - 2, -1, -1):
+        n = active[step]
+        at = begin[:n] + step
+        depth[at] = np.where(used[:n] == step + 2, 0, depth.take(begin[:n] + parent.take(at + to_node)) + 1)
+    of_leaf = depth.take(begin[:, None] + parent[:to_node].reshape(-1, across)[:, :most]) + 1
+    of_leaf[np.arange(most) >= used[:, None]] = 0
+    long = of_leaf.max(axis=1) > longest
+    at, k = np.nonzero(of_leaf)
+    lengths[rows[at], order[at, k]] = np.minimum(of_leaf[at, k], 255)
+    rows = rows[long]
+    if len(rows) <= LEAST_LANES:
+        for i in rows.tolist():
+            lengths[i] = code_lengths(counts[i], longest)
+    else:
+        lengths[rows] = _code_lengths_at_once((counts[rows] + 1) // 2, longest)
+    return lengths
+
+
+def _canonical(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, symbol, size in the stream and share of 2 ** bits of each used symbol, in the order of codes; rows are complete codes or of one symbol."""
+    row, symbol = np.nonzero(lengths)
+    order = np.sort(row << 16 | lengths[row, symbol].astype(np.int64) << 12 | symbol)
+    row, size, symbol = order >> 16, order >> 12 & 15, order & 4095
+    only = (np.bincount(row, minlength=len(lengths)) == 1)[row]
+    size[only] = 0
+    return row, symbol, size, 1 << (bits - size)
+
+
+def _codewords_at_once(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's codes, first bit lowest, and their sizes in the stream."""
+    row, symbol, size, width = _canonical(lengths, bits)
+    code, sizes = np.zeros(lengths.shape, dtype=np.uint64), np.zeros(lengths.shape, dtype=np.int64)
+    code[row, symbol] = _reversed(bits)[(np.cumsum(width) - width) & ((1 << bits) - 1)]
+    sizes[row, symbol] = size
+    return code, sizes
+
+
+def _tables_at_once(lengths: np.ndarray, bits: int, bad: np.ndarray) -> np.ndarray:
+    """Decoding tables, by the next ``bits`` bits: symbol << 4 | size. Rows that are no code, or of longer ones, become bad."""
+    width = np.where((lengths > 0) & (lengths <= bits), 1 << (bits - np.minimum(lengths, bits).astype(np.int64)), 0).sum(axis=1)
+    wrong = (lengths.max(axis=1) > bits) | (width != 1 << bits) & (np.count_nonzero(lengths, axis=1) != 1)
+    if wrong.any():
+        bad |= wrong.reshape(len(bad), -1).any(axis=1)
+        lengths = lengths.copy()
+        lengths[wrong] = 0
+        lengths[wrong, 0] = 1
+    _, symbol, size, width = _canonical(lengths, bits)
+    return np.repeat((symbol << 4 | size).astype(np.uint16), width).reshape(len(lengths), -1)[:, _reversed(bits)]
+
+
+class _Numbers:
+    """Numbers and their sizes for many streams, section by section; within a section the streams' numbers follow one another."""
+
+    def __init__(self, streams: int):
+        self.streams = streams
+        self.sections: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, values: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+        self.sections.append((values, sizes, counts))
+
+    def bytes(self) -> list[bytes]:
+        counts = np.stack([c for _, _, c in self.sections], axis=1)
+        begins = (np.cumsum(counts) - counts.ravel()).reshape(counts.shape)
+        values, sizes = np.zeros(int(counts.sum()), dtype=np.uint64), np.zeros(int(counts.sum()), dtype=np.int64)
+        for k, (v, s, c) in enumerate(self.sections):
+            at = np.arange(len(v)) + np.repeat(begins[:, k] - (np.cumsum(c) - c), c)
+            values[at], sizes[at] = v, s
+        self.sections.clear()
+        ends = np.cumsum(sizes)
+        bits = np.diff(ends[np.cumsum(counts.sum(axis=1)) - 1], prepend=0)
+        words = _blocks(bits, 6)
+        first = np.cumsum(words) - words  # each stream begins in a word of its own
+        place = ends - sizes + np.repeat(64 * first - (np.cumsum(bits) - bits), counts.sum(axis=1))
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        out = np.zeros(int(words.sum()) + 1, dtype=np.uint64)
+        begin = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[begin]] = np.bitwise_or.reduceat(values << shift, begin)
+        over = np.flatnonzero((place & 63) + sizes > 64)
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        whole = out.view(np.uint8)
+        return [whole[8 * f : 8 * f + n].tobytes() for f, n in zip(first.tolist(), _blocks(bits, 3).tolist(), strict=True)]
+
+
+def _headers_at_once(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers, and their sizes, that tell each row's code lengths, and how many a row has."""
+    n, symbols = lengths.shape
+    flat = lengths.ravel().astype(np.int64)
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    new[::symbols] = True
+    begins = np.flatnonzero(new)
+    value, times = flat[begins], np.diff(begins, append=len(flat))
+    times = np.where(value > 0, times - 1, times)  # after the length itself
+    most = np.where(value > 0, 6, 138)
+    full, rest = times // most, times % most
+    count = (value > 0) + full + np.where(rest >= 3, 1, rest)
+    run = np.repeat(np.arange(len(begins)), count)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    value, full, rest, most = value[run], full[run], rest[run], most[run]
+    k -= value > 0
+    times = np.where((k >= 0) & (k < full), most, np.where((k == full) & (rest >= 3), rest, 1))
+    symbol = np.where(times < 3, value, np.where(value > 0, 16, np.where(times >= 11, 18, 17)))
+    extra = np.where(times < 3, 0, times - np.where(symbol == 18, 11, 3))
+    row = begins[run] // symbols
+    of_lengths = _code_lengths_at_once(np.bincount(19 * row + symbol, minlength=19 * n).reshape(n, 19), 7)
+    code, size = _codewords_at_once(of_lengths, 7)
+    in_order = of_lengths[:, LENGTH_ORDER].astype(np.uint64)
+    told = np.maximum(4, 19 - np.argmax(in_order[:, ::-1] > 0, axis=1))
+    head = (told - 4).astype(np.uint64) << np.uint64(1) | (in_order << (np.arange(19) * 3 + 5).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    counts = 1 + np.bincount(row, minlength=n)
+    first = np.cumsum(counts) - counts
+    values, sizes = np.zeros(int(counts.sum()), dtype=np.uint64), np.zeros(int(counts.sum()), dtype=np.int64)
+    values[first], sizes[first] = head, 6 + 3 * told  # the last of these bits: all code lengths follow
+    at = np.arange(len(row)) + row + 1
+    values[at] = code[row, symbol] | extra.astype(np.uint64) << size[row, symbol].astype(np.uint64)
+    sizes[at] = size[row, symbol] + np.array([0] * 16 + [2, 3, 7])[symbol]
+    return values, sizes, counts
+
+
+def _rows_of(blocks: list[np.ndarray], heights: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The value of each pixel's block, for images of one width below one another."""
+    across = [len(b) for b in blocks]
+    first = np.repeat(np.cumsum(across) - across, heights)
+    return np.repeat(np.concatenate(blocks)[first + (_within(heights) >> bits)], 1 << bits, axis=1)[:, :width]
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _edged(mode: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Predictors, with those that the format fixes for the first row and column."""
+    mode = mode.astype(np.uint8)
+    mode[:, 0] = 2
+    mode[y == 0] = 1
+    mode[y == 0, 0] = 0
+    return mode
+
+
+def _expected(pixels: np.ndarray, at: np.ndarray, mode: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of their predictors, and what is expected there. pixels: four int16 in one number."""
+    order = np.argsort(mode, kind="stable")
+    at = at[order]
+    left, top, top_right, top_left = (pixels.take(at - k, mode="clip").view(np.int16).reshape(-1, 4) for k in (1, width, width - 1, width + 1))
+    want = np.empty((len(at), 4), dtype=np.int16)
+    counts = np.bincount(mode, minlength=16)
+    lo = 0
+    for m in np.flatnonzero(counts).tolist():
+        s = slice(lo, lo + int(counts[m]))
+        want[s] = predicted(m, left[s], top[s], top_right[s], top_left[s])
+        lo = s.stop
+    return at, want
+
+
+def _add_predictions_at_once(residue: np.ndarray, mode: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """add_predictions for images below one another: a pixel needs none whose column plus twice the row is as large as its own."""
+    width = residue.shape[1]
+    y = _within(heights)
+    flat_mode = _edged(mode, y).ravel()
+    channels = _channels(residue).reshape(-1, 4)
+    pixels = channels.view(np.int64)[:, 0]
+    by_row = np.argsort(y, kind="stable")
+    y = y[by_row]
+    begin = by_row * width - 2 * y
+    for t in range(width + 2 * int(y[-1])):
+        lo, hi = np.searchsorted(y, (max(0, (t - width + 2) // 2), t // 2 + 1)).tolist()
+        at = begin[lo:hi] + t
+        at, want = _expected(pixels, at, flat_mode[at], width)
+        want += channels[at]
+        want &= 255
+        channels[at] = want
+    return _joined(channels).reshape(residue.shape)
+
+
+def _take_predictions_at_once(argb: np.ndarray, mode: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """The inverse of _add_predictions_at_once."""
+    width = argb.shape[1]
+    flat_mode = _edged(mode, _within(heights)).ravel()
+    channels = _channels(argb).reshape(-1, 4)
+    pixels = channels.view(np.int64)[:, 0]
+    out = np.empty((argb.size, 4), dtype=np.uint8)
+    for lo in range(0, argb.size, 1 << 17):
+        at, want = _expected(pixels, np.arange(lo, min(argb.size, lo + (1 << 17))), flat_mode[lo : lo + (1 << 17)], width)
+        out[at] = channels[at] - want & 255
+    return _joined(out).reshape(argb.shape)
+
+
+def _cache_slots(flat: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (flat * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+
+
+def _blocks_of(height: int, width: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Predictors, cross-colour factors and groups of an image's blocks; they follow from places and the payload's share.
+
+    The factors are close to -32, which takes back what subtracted green does to text.
+    """
+    shape = _blocks(height, SHARE_BITS), _blocks(width, SHARE_BITS)
+    place = np.arange(shape[0] * shape[1], dtype=np.uint32).reshape(shape)
+    off = place % 4
+    return (place + share) % 14 << np.uint32(8), off << np.uint32(16) | (off + 0xE0) * np.uint32(0x101), place % 2
+
+
+@lru_cache(maxsize=1024)
+def _plan(height: int, width: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and their sizes, from the first transform after a palette to the codes, for an image of so many blocks."""
+    modes, factors, groups = _blocks_of(height << SHARE_BITS, width << SHARE_BITS, share)
+    w = Writer()
+    for kind, data in ((SUBTRACT_GREEN, None), (CROSS_COLOUR, factors), (PREDICTOR, modes)):
+        w.put(1, 1)
+        w.put(kind, 2)
+        if data is not None:
+            w.put(SHARE_BITS - 2, 3)
+            _write(w, data.astype(np.uint32), False)
+    for value, size in ((0, 1), (1, 1), (CACHE_BITS, 4), (1, 1), (SHARE_BITS - 2, 3)):
+        w.put(value, size)
+    _write(w, groups.astype(np.uint32) << np.uint32(8), False)
+    return w.joined()
+
+
+def _encode_at_once(images: list[np.ndarray], heads: list[Writer], shares: list[int]) -> list[bytes]:
+    """Opaque images of one width, by every transform, a colour cache, several groups of codes and back-references for runs."""
+    n, width = len(images), images[0].shape[1]
+    heights = np.array([len(a) for a in images])
+    modes, factors, groups = zip(*(_blocks_of(len(a), width, s) for a, s in zip(images, shares, strict=True)), strict=True)
+    argb = _crossed(shift_green(np.concatenate(images), -1), _rows_of(factors, heights, SHARE_BITS, width), -1)
+    flat = _take_predictions_at_once(argb, _rows_of(modes, heights, SHARE_BITS, width) >> np.uint32(8), heights).ravel()
+    # tokens: runs of a pixel, then what the cache holds
+    first = width * (np.cumsum(heights) - heights)
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    new[first] = True
+    begins = np.flatnonzero(new)
+    runs = np.diff(begins, append=len(flat))
+    long = np.flatnonzero(runs > RUN_LEAST)
+    parts = -(-(runs[long] - 1) // COPY_MOST)
+    keep = np.ones(len(flat) + 1, dtype=np.int8)
+    keep[np.repeat(begins[long] + 1, runs[long] - 1) + _within(runs[long] - 1)] = 0
+    copies = np.repeat(begins[long] + 1, parts) + COPY_MOST * _within(parts)
+    keep[copies] = 1
+    at = np.flatnonzero(keep[:-1])
+    copies = np.searchsorted(at, copies)
+    length = np.diff(at, append=len(flat))[copies]
+    token = flat[at]
+    stream = np.repeat(np.arange(n), np.diff(np.searchsorted(at, first), append=len(at)))
+    plain = np.ones(len(at), dtype=bool)
+    plain[copies] = False
+    slot = _cache_slots(token, CACHE_BITS)
+    by_slot = np.argsort(slot, kind="stable")
+    same = (token[by_slot][1:] == token[by_slot][:-1]) & (stream[by_slot][1:] == stream[by_slot][:-1])
+    cached = np.zeros(len(at), dtype=bool)
+    cached[by_slot[1:]] = same
+    cached &= plain
+    plain &= ~cached
+    # codes
+    group = _rows_of(groups, heights, SHARE_BITS, width).ravel()[at]
+    code_of = 2 * stream + group
+    green, red, blue = ((token >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0))
+    assert not (token >> np.uint32(24)).any()
+    green[cached] = GREENS + LENGTHS + slot[cached]
+    prefix, extra, low = _prefix(length)
+    green[copies] = GREENS + prefix
+    symbols = GREENS + LENGTHS + (1 << CACHE_BITS)
+    at_plain = np.flatnonzero(plain)
+    code_plain, red, blue = code_of[at_plain], red[at_plain], blue[at_plain]
+    counts = np.zeros((4 * n, symbols), dtype=np.int64)
+    counts[: 2 * n] = np.bincount(symbols * code_of + green, minlength=2 * n * symbols).reshape(-1, symbols)
+    for channel in (red, blue):  # which share their code lengths
+        counts[2 * n :, :256] += np.bincount(256 * code_plain + channel, minlength=512 * n).reshape(-1, 256)
+    least = counts.sum(axis=1, keepdims=True) >> CODE_BITS - 1  # with it few codes are too long at first
+    lengths = _code_lengths_at_once(np.where(counts > 0, np.maximum(counts, least), 0), CODE_BITS)
+    of_green, of_both = lengths[: 2 * n], lengths[2 * n :, :256]
+    code, size = _codewords_at_once(of_green, CODE_BITS)
+    values, sizes = code[code_of, green], size[code_of, green]
+    values[copies] |= low.astype(np.uint64) << sizes[copies].astype(np.uint64)
+    sizes[copies] += extra  # the distance has one symbol, so it takes no bits
+    code, size = _codewords_at_once(of_both, CODE_BITS)
+    plain_values, plain_sizes = values[at_plain], sizes[at_plain]
+    for channel in (red, blue):
+        of = 256 * code_plain + channel
+        plain_values |= code.ravel()[of] << plain_sizes.astype(np.uint64)
+        plain_sizes += size.ravel()[of]
+    values[at_plain], sizes[at_plain] = plain_values, plain_sizes
+    out = _Numbers(n)
+    for w, a, s in zip(heads, images, shares, strict=True):
+        w.put_all(*_plan(_blocks(len(a), SHARE_BITS), _blocks(width, SHARE_BITS), s % 14))
+    told = [w.joined() for w in heads]
+    out.add(*(np.concatenate(x) for x in zip(*told, strict=True)), np.array([len(v) for v, _ in told]))
+    for g in (0, 1):
+        used = np.array([int(b.max()) >= g for b in groups])
+        if not used.any():
+            continue
+        header = [_headers_at_once(x[g::2][used]) for x in (of_green, of_both)]
+        for v, s, c in (header[0], header[1], header[1]):
+            counts = np.zeros(n, dtype=np.int64)
+            counts[used] = c
+            out.add(v, s, counts)
+        alpha, distance = (5 | symbol << 3 for symbol in (0, NEAR.index((1, 0))))  # codes of one symbol
+        out.add(np.tile(np.array([alpha, distance], dtype=np.uint64), int(used.sum())), np.full(2 * int(used.sum()), 11), 2 * used)
+    out.add(values, sizes, np.bincount(stream, minlength=n))
+    return [_file(stream) for stream in out.bytes()]
+
+
+def _images_of(raw: bytes) -> Iterator[np.ndarray]:
     """The padded payload as images of WIDTH pixels a row."""
     payload = raw + bytes([PAD]) * (-len(raw) % UNIT or (0 if raw else UNIT))
-    share = zlib.crc32(raw) % SHARES if raw else SHARES
-    out = []
     for lo in range(0, len(payload), MAX_ROWS * UNIT):
         c = np.frombuffer(payload[lo : lo + MAX_ROWS * UNIT], dtype=np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
-        argb = np.uint32(0xFF000000) | c[..., 0] << np.uint32(16) | c[..., 1] << np.uint32(8) | c[..., 2]
-        out.append(encode(argb, **_means(argb, share)))
+        yield np.uint32(0xFF000000) | c[..., 0] << np.uint32(16) | c[..., 1] << np.uint32(8) | c[..., 2]
+
+
+def _parts(items: Iterable, size: Callable, most: int) -> Iterator[list]:
+    """Items, in their order, in lists of at most so large a sum (or of one item), and of at most LANES."""
+    part, total = [], 0
+    for item in items:
+        n = size(item)
+        if part and (total + n > most or len(part) == LANES):
+            yield part
+            part, total = [], 0
+        part.append(item)
+        total += n
+    if part:
+        yield part
+
+
+def store_many(raws: list[bytes]) -> list[list[bytes]]:
+    """Each padded payload as images of WIDTH pixels a row, every one stored with all of the format's means."""
+    out: list[list[bytes]] = [[] for _ in raws]
+    for part in _parts(((i, argb) for i, raw in enumerate(raws) for argb in _images_of(raw)), lambda x: x[1].size, STORE_PIXELS):
+        by_width: dict[int, list[tuple]] = {}
+        for k, (i, argb) in enumerate(part):
+            w = Writer()
+            for value, size in ((argb.shape[1] - 1, 14), (argb.shape[0] - 1, 14), (0, 4)):
+                w.put(value, size)
+            colours = _palette(argb)
+            if colours is not None and 4 * len(colours) <= argb.size:
+                w.put(1, 1)
+                w.put(PALETTE, 2)
+                _tell_palette(w, colours)
+                argb = _packed(argb, colours)
+            by_width.setdefault(argb.shape[1], []).append((k, argb, w, zlib.crc32(raws[i]) % SHARES))
+        done: list[bytes] = [b""] * len(part)
+        for same in by_width.values():
+            places, images, heads, shares = zip(*same, strict=True)
+            for k, data in zip(places, _encode_at_once(images, heads, shares), strict=True):
+                done[k] = data
+        for (i, _), data in zip(part, done, strict=True):
+            out[i].append(data)
     return out
 
 
+def store(raw: bytes) -> list[bytes]:
+    return store_many([raw])[0]
+
+
+def _lengths_at_once(window: np.ndarray, at: np.ndarray, symbols: int, bad: np.ndarray) -> np.ndarray:
+    """The code lengths told at each stream's place, which is moved past them. What is no code makes a stream bad."""
+    peek = lambda p: window.take(p >> 3, mode="clip") >> (p & 7)
+    n = len(at)
+    lengths = np.zeros((n, symbols), dtype=np.uint8)
+    w = peek(at)
+    simple = w & 1 == 1
+    who = np.flatnonzero(simple)
+    if len(who):
+        w = w[who]
+        two, wide = w >> 1 & 1, w >> 2 & 1
+        size = np.where(wide == 1, 8, 1)
+        a, b = w >> 3 & ((1 << size) - 1), np.where(two == 1, w >> (3 + size) & 255, 0)
+        bad[who] |= (a >= symbols) | (b >= symbols)
+        lengths[who, np.minimum(a, symbols - 1)] = 1
+        second = two == 1
+        lengths[who[second], np.minimum(b, symbols - 1)[second]] = 1
+        at[who] += 3 + size + 8 * two
+    who = np.flatnonzero(~simple)
+    if not len(who):
+        return lengths
+    p = at[who]
+    told = 4 + (peek(p) >> 1 & 15)
+    w = peek(p + 5)
+    of_lengths = np.zeros((len(who), 19), dtype=np.uint8)
+    for i, symbol in enumerate(LENGTH_ORDER):
+        of_lengths[:, symbol] = np.where(i < told, w >> 3 * i & 7, 0)
+    wrong = bad[who]
+    table = _tables_at_once(of_lengths, 7, wrong).ravel().astype(np.int64)
+    p += 5 + 3 * told
+    w = peek(p)
+    size = np.where(w & 1, 2 + 2 * (w >> 1 & 7), 0)
+    left = np.where(w & 1, 2 + (w >> 4 & ((1 << size) - 1)), symbols)
+    p += np.where(w & 1, 4 + size, 1)
+    extras, least = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
+    done, last = np.zeros(len(who), dtype=np.int64), np.full(len(who), 8)
+    live = np.arange(len(who))
+    values, times = [], []
+    q, have, rest, before = p.copy(), done.copy(), left, last
+    while len(live):
+        w = peek(q)
+        entry = table.take(live << 7 | w & 127)
+        symbol, size = entry >> 4, entry & 15
+        extra = extras.take(symbol)
+        count = least.take(symbol) + (w >> size & ((1 << extra) - 1))
+        value = np.where(symbol < 16, symbol, np.where(symbol == 16, before, 0))
+        v, c = np.zeros((2, len(who)), dtype=np.uint16)
+        v[live], c[live] = value, count
+        values.append(v)
+        times.append(c)
+        q = q + size + extra
+        have = have + count
+        rest = rest - 1
+        before = np.where((symbol > 0) & (symbol < 16), symbol, before)
+        more = (have < symbols) & (rest > 0)
+        if not more.all():
+            ended = ~more
+            p[live[ended]], done[live[ended]] = q[ended], have[ended]
+            live, q, have, rest, before = live[more], q[more], have[more], rest[more], before[more]
+    at[who] = p
+    wrong |= done > symbols
+    counts = np.stack([*times, np.maximum(0, symbols - done).astype(np.uint16)], axis=1)
+    counts[wrong] = 0
+    counts[wrong, -1] = symbols
+    values.append(np.zeros(len(who), dtype=np.uint16))
+    lengths[who] = np.repeat(np.stack(values, axis=1).ravel(), counts.ravel()).reshape(-1, symbols)
+    bad[who] = wrong
+    return lengths
+
+
+def _pixels_at_once(jobs: list[tuple], cache_bits: int, groups: int) -> list[np.ndarray | None]:
+    """The coded pixels of streams that stand at their codes; None where a stream needs ``decode``.
+
+    Each step reads one token of every stream. Back-references other than to the pixel before, codes
+    of more than TABLE_BITS bits and several values of alpha in a group are left to ``decode``.
+    """
+    n = len(jobs)
+    data = b"".join(x for job in jobs for x in (job[0].data, bytes(16)))
+    bytes_of = np.array([len(job[0].data) + 16 for job in jobs])
+    begin = 8 * (np.cumsum(bytes_of) - bytes_of)
+    at, ends = begin + np.array([job[0].at for job in jobs]), begin + 8 * bytes_of - 128
+    window = np.ascontiguousarray(np.ndarray(len(data) - 7, "<i8", data, strides=(1,)))
+    bad = np.zeros(n, dtype=bool)
+    sizes = (GREENS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
+    lengths = [[_lengths_at_once(window, at, s, bad) for s in sizes] for _ in range(groups)]
+    of_green, of_red, of_blue, of_alpha, of_distance = (np.stack(x, axis=1).reshape(n * groups, -1) for x in zip(*lengths, strict=True))
+    alpha, distance = of_alpha.argmax(axis=1), of_distance.argmax(axis=1)
+    bad |= (np.count_nonzero(of_alpha, axis=1) != 1).reshape(n, -1).any(axis=1)
+    distance[np.count_nonzero(of_distance, axis=1) != 1] = -1
+    bits = int(min(TABLE_BITS, max(of_green.max(), of_red.max(), of_blue.max())))
+    greens, reds = (_tables_at_once(x, bits, bad).ravel() for x in (of_green, of_red))
+    blues = reds if (of_red == of_blue).all() else _tables_at_once(of_blue, bits, bad).ravel()
+    many = np.array([job[1] * job[2] for job in jobs])
+    first = np.cumsum(many) - many
+    total = int(many.sum())
+    # the place of the tables of each pixel's group
+    tables = np.repeat(np.arange(n) * groups, many)
+    if groups > 1:
+        tables += np.concatenate([_modes(of, b, x, y).ravel() for _, x, y, of, b, _ in jobs])
+    tables <<= bits
+    mask = (1 << bits) - 1
+    extras, least = (np.array(x) for x in zip(*(((0, k + 1) if k < 4 else ((k - 2) >> 1, ((2 + (k & 1)) << ((k - 2) >> 1)) + 1)) for k in range(LENGTHS)), strict=True))
+    green, red, blue = np.full(total, 0xFFFF, dtype=np.uint16), np.zeros(total, dtype=np.uint16), np.zeros(total, dtype=np.uint16)
+    p, pos, end, lane = at, first.copy(), first + many, np.arange(n)
+    while len(pos):
+        w = window.take(p >> 3, mode="clip") >> (p & 7)
+        table = tables.take(pos)
+        g = greens.take(table + (w & mask))
+        size = (g & 15).astype(np.int64)
+        w >>= size
+        r = reds.take(table + (w & mask))
+        of_r = (r & 15).astype(np.int64)
+        w >>= of_r
+        b = blues.take(table + (w & mask))
+        green[pos], red[pos], blue[pos] = g, r, b
+        step = of_r + (b & 15)
+        after = pos + 1
+        other = (g >= GREENS << 4).nonzero()[0]
+        if len(other):
+            step[other] = 0
+            copies = other[g[other] < GREENS + LENGTHS << 4]
+            if len(copies):
+                prefix = (g[copies] >> 4).astype(np.int64) - GREENS
+                q = p[copies] + size[copies]
+                step[copies] = extras[prefix]
+                after[copies] += least[prefix] + (window.take(q >> 3, mode="clip") >> (q & 7) & ((1 << extras[prefix]) - 1)) - 1
+        step += size
+        p = p + step
+        pos = after
+        more = pos < end
+        if np.count_nonzero(more) < len(more):
+            ended = ~more
+            bad[lane[ended]] |= (pos[ended] != end[ended]) | (p[ended] > ends[lane[ended]])
+            p, pos, end, lane = p[more], pos[more], end[more], lane[more]
+    symbol = green >> 4
+    literal = symbol < GREENS
+    argb = alpha.astype(np.uint32)[tables >> bits] << np.uint32(24) | (red >> 4).astype(np.uint32) << np.uint32(16) | symbol.astype(np.uint32) << np.uint32(8) | blue >> 4
+    copied = (symbol >= GREENS) & (symbol < GREENS + LENGTHS)
+    wrong = np.flatnonzero(copied)
+    group = tables[wrong] >> bits
+    bad[group[distance[group] != NEAR.index((1, 0))] // groups] = True
+    copied |= green == 0xFFFF
+    bad |= copied[first]
+    if cache_bits:  # a slot holds the last literal of its hash; what the cache or a run gives changes no slot
+        token = np.flatnonzero(~copied)
+        slot = np.where(literal[token], _cache_slots(argb[token], cache_bits), symbol[token] - np.uint16(GREENS + LENGTHS))
+        order = np.argsort(slot, kind="stable")
+        place, slot = token[order], slot[order]
+        is_literal = literal[place]
+        source = np.maximum.accumulate(np.where(is_literal, np.arange(len(place)), 0))
+        from_cache = np.flatnonzero(~is_literal)
+        to, source = place[from_cache], source[from_cache]
+        streams = tables[to] >> bits
+        streams //= groups
+        argb[to] = argb[place[source]]
+        bad[streams[~is_literal[source] | (slot[source] != slot[from_cache]) | (place[source] < first[streams])]] = True
+    if copied.any():
+        argb = argb[np.maximum.accumulate(np.where(copied, 0, np.arange(total)))]
+    return [None if b else argb[lo : lo + k].reshape(job[2], job[1]) for job, b, lo, k in zip(jobs, bad.tolist(), first.tolist(), many.tolist(), strict=True)]
+
+
+def _undone_at_once(images: list[np.ndarray], todos: list[list[tuple]]) -> list[np.ndarray]:
+    """Images of one width after the inverses of their transforms, which are of the same kinds and blocks; a palette can come first only."""
+    heights = np.array([len(a) for a in images])
+    width = images[0].shape[1]
+    argb = np.concatenate(images)
+    for k in range(len(todos[0]) - 1, -1, -1):
+        kind, _, _, bits = todos[0][k]
+        if kind == PREDICTOR:
+            modes = _rows_of([t[k][2] for t in todos], heights, bits, width)
+            argb = _add_predictions_at_once(argb, modes >> np.uint32(8) & np.uint32(15), heights)
+        elif kind == CROSS_COLOUR:
+            argb = _crossed(argb, _rows_of([t[k][2] for t in todos], heights, bits, width), 1)
+        elif kind == SUBTRACT_GREEN:
+            argb = shift_green(argb, 1)
+    out = np.split(argb, np.cumsum(heights)[:-1])
+    if todos[0] and todos[0][0][0] == PALETTE:
+        out = [from_palette(a, t[0][2], t[0][1]) for a, t in zip(out, todos, strict=True)]
+    return out
+
+
+_known: dict[tuple[int, int, int], list[tuple[int, int, np.ndarray]]] = {}
+
+
+def _image_once(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
+    """_image, for images of blocks; a small one with the same bits as one read before isn't read again."""
+    key = (width, height, r.peek(48))
+    for size, value, pixels in _known.get(key, ()):
+        if r.at + size <= r.end and r.bits(r.at, size) == value:
+            r.at += size
+            return pixels
+    begin = r.at
+    pixels = _image(r, width, height, main)
+    if len(pixels) <= 256:
+        if len(_known) >= 4096:
+            _known.clear()
+        if len(seen := _known.setdefault(key, [])) < 64:
+            seen.append((r.at - begin, r.bits(begin, r.at - begin), pixels))
+    return pixels
+
+
+def _decode_part(images: list[bytes]) -> list[np.ndarray]:
+    by_kind: dict[tuple, list[tuple]] = {}
+    for i, data in enumerate(images):
+        r, width, height = _opened(data)
+        todo, x = _transforms(r, width, height, _image_once)
+        cache_bits = r.read(4) if r.read(1) else 0
+        of, bits, groups = None, 0, 1
+        if r.read(1):
+            bits = r.read(3) + 2
+            shape = (_blocks(height, bits), _blocks(x, bits))
+            of = (_image_once(r, shape[1], shape[0], False) >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64).reshape(shape)
+            groups = int(of.max()) + 1
+        if cache_bits <= 11 and groups <= 4 and all(t[0] != PALETTE for t in todo[1:]):
+            by_kind.setdefault((cache_bits, groups), []).append((i, (r, x, height, of, bits, todo)))
+    out: list[np.ndarray | None] = [None] * len(images)
+    same: dict[tuple, list[tuple]] = {}
+    for kind, found in by_kind.items():
+        sizes = sorted((job[1] * job[2] for _, job in found), reverse=True)
+        most = 2 * sizes[LEAST_LANES - 1] if len(sizes) >= LEAST_LANES else 0  # a few long streams take less time one by one
+        found = [(i, job) for i, job in found if job[1] * job[2] <= most]
+        if found:
+            for (i, job), argb in zip(found, _pixels_at_once([job for _, job in found], *kind), strict=True):
+                if argb is not None:
+                    same.setdefault((job[1], *((t[0], t[3]) for t in job[5])), []).append((i, argb, job[5]))
+    for found in same.values():
+        places, argbs, todos = zip(*found, strict=True)
+        for i, argb in zip(places, _undone_at_once(argbs, todos), strict=True):
+            out[i] = argb
+    return [decode(data) if argb is None else argb for data, argb in zip(images, out, strict=True)]
+
+
+def decode_many(images: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """The pixels of each image, as ``decode`` gives them."""
+    pixels = lambda data: ((int.from_bytes(data[21:25], "little") & 0x3FFF) + 1) * ((int.from_bytes(data[21:25], "little") >> 14 & 0x3FFF) + 1)
+    for part in _parts(images, pixels, LANE_PIXELS):
+        yield from _decode_part(part)
+
+
 def samples(argb: np.ndarray) -> bytes:
     """Red, green and blue of every pixel."""
     return np.stack([argb >> np.uint32(s) & np.uint32(255) for s in (16, 8, 0)], axis=-1).astype(np.uint8).tobytes()
@@ -790,21 +1428,26 @@ def samples(argb: np.ndarray) -> bytes:
 
 def features(payload: bytes) -> str:
     """rows x WIDTH, the means of red, green and blue, and 64 bits: which of 8 by 8 areas are lighter than the image."""
-    c = np.frombuffer(payload, dtype=np.uint8).reshape(-1, WIDTH, 3)
-    means = c.reshape(-1, 3).mean(axis=0)
+    c = np.frombuffer(payload, dtype=np.uint8).reshape(-1, UNIT)
+    means = c.sum(axis=0, dtype=np.int64).reshape(WIDTH, 3).sum(axis=0) / (len(c) * WIDTH)
     rows = np.linspace(0, len(c), 9).astype(np.int64)
-    by_row = c.sum(axis=2, dtype=np.int64).reshape(len(c), 8, WIDTH // 8).sum(axis=2)
+    by_row = c.reshape(len(c), 8, UNIT // 8).sum(axis=2, dtype=np.int64)
     sums = np.concatenate([np.zeros((1, 8), dtype=np.int64), np.cumsum(by_row, axis=0)])
     light = (sums[rows[1:]] - sums[rows[:-1]]) * len(c) * WIDTH > int(sums[-1].sum()) * (np.diff(rows) * (WIDTH // 8))[:, None]
     return f"{len(c)}x{WIDTH}:{','.join(f'{m:.3f}' for m in means)}:{np.packbits(light).tobytes().hex()}"
 
 
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of at most LANES rows and SLICE_BYTES (or of one row); none if there are no rows."""
+    for part in _parts(enumerate(sizes.tolist()), lambda x: x[1], SLICE_BYTES):
+        yield batch.slice(part[0][0], len(part))
+
+
 def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for part in _slices(batch, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
             raw = [t or b"" for t in part.column(1).to_pylist()]
-            known = {t: store(t) for t in set(raw)}
+            known = dict(zip(once := list(dict.fromkeys(raw)), store_many(once), strict=True))
             yield pa.record_batch([part.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array([known[t] for t in raw], pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media"])
 
 
@@ -812,7 +1455,7 @@ def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the images of its text's payload), written to the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    return staged(read.mapInArrow(_store_rows, f"doc_id {kind}, n_bytes long, media array<binary>"), "webp-media")
+    return staged(read.mapInArrow(lambda batches: released(_store_rows(batches)), f"doc_id {kind}, n_bytes long, media array<binary>"), "webp-media")
 
 
 def pixels(media: DataFrame, column: str = "media") -> DataFrame:
@@ -836,21 +1479,26 @@ def pixels(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for media in batch.column(2).to_pylist():
-            payload = b"".join(samples(decode(m)) for m in media)
-            whole = hashlib.sha256()
-            for m in media:
-                whole.update(m)
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sum(map(len, media)), whole.hexdigest(), features(payload)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    for whole_batch in batches:
+        media = whole_batch.column(2)
+        sizes = np.bincount(pc.list_parent_indices(media).to_numpy(), pc.binary_length(pc.list_flatten(media)).to_numpy(), whole_batch.num_rows)
+        for batch in _slices(whole_batch, sizes):
+            stored_rows = batch.column(2).to_pylist()
+            images = (samples(argb) for argb in decode_many([m for media in stored_rows for m in media]))
+            out = []
+            for media in stored_rows:
+                payload = b"".join(next(images) for _ in media)
+                whole = hashlib.sha256()
+                for m in media:
+                    whole.update(m)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), sum(map(len, media)), whole.hexdigest(), features(payload)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def described(media: DataFrame) -> DataFrame:
     """From doc_id, n_bytes and media: sizes and digests of payload and stored form, and the features of the pixels read back."""
     kind = media.schema["doc_id"].dataType.simpleString()
     made = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_described, made)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: released(_described(batches)), made)

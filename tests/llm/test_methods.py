@@ -303,6 +303,42 @@ def test_every_means_of_the_format_stores_documents():
     assert all(used[k] for k in range(5))
 
 
+def test_every_document_is_stored_with_every_means(spark):
+    """No share of the payloads is left out: transforms, colour cache and groups of codes stand in each image."""
+    modes, docs = set(), webp.stored(table(spark, SF, "documents")).collect()
+    assert len(docs) == table(spark, SF, "documents").count()
+    for data in (m for row in docs for m in row.media):
+        r, width, height = webp._opened(bytes(data))
+        todo, x = webp._transforms(r, width, height, webp._image)
+        assert {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN} <= {t[0] for t in todo}
+        assert r.read(1) and r.read(4) == webp.CACHE_BITS and r.read(1)  # the cache, and a group for each block
+        bits = r.read(3) + 2
+        blocks = webp._blocks(x, bits) * webp._blocks(height, bits)
+        assert len(np.unique(webp._image(r, webp._blocks(x, bits), webp._blocks(height, bits), False))) == min(2, blocks)
+        modes |= {int(m) >> 8 & 15 for t in todo if t[0] == webp.PREDICTOR for m in t[2].ravel()}
+    assert modes == set(range(14))
+
+
+def test_many_images_are_read_as_one_by_one():
+    r, rng = random.Random(5), np.random.default_rng(5)
+    raws = [b"", b"a", b" " * 3000, bytes(range(256)) * 9, rng.bytes(5000), b"x" * 40_000 + b"end"]
+    raws += [" ".join(r.choice(("river", "stone", "\u00e4", "1234", "\n")) for _ in range(r.randrange(900))).encode() for _ in range(60)]
+    stored = webp.store_many(raws)
+    for raw, images, argb in zip(raws, stored, webp.decode_many(m for images in stored for m in images), strict=True):
+        assert len(images) == 1 and (webp.decode(images[0]) == argb).all() and images == webp.store(raw)
+        assert webp.samples(argb) == raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+    # images of another encoder: no transforms, other groups, back-references and codes; several values of alpha
+    blocks = (webp._blocks(20, 2), webp._blocks(24, 2))
+    modes, factors, groups = rng.integers(0, 14, blocks).astype(np.uint32) << np.uint32(8), rng.integers(0, 1 << 24, blocks).astype(np.uint32), rng.integers(0, 3, blocks).astype(np.uint32)
+    means = ({}, {"cache_bits": 4}, {"groups": groups}, {"transforms": (webp.PREDICTOR, webp.CROSS_COLOUR), "modes": modes, "factors": factors, "groups": groups, "cache_bits": 11}, {"transforms": (webp.SUBTRACT_GREEN,)})
+    drawn = [a.astype(np.uint32) for _ in range(12) for a in (rng.integers(0, 1 << 32, (20, 24)), 0xFF000000 + rng.integers(0, 5, (20, 24)), np.full((20, 24), 0xFF102030))]
+    coded = [(webp.encode(a, **given), a) for a in drawn for given in means] + [(webp.encode(a, (webp.PALETTE,)), a) for a in drawn if len(np.unique(a)) < 9]
+    assert all((got == a).all() for got, (_, a) in zip(webp.decode_many(m for m, _ in coded), coded, strict=True))
+    for k in (25, 60, 90):
+        with pytest.raises(webp.Corrupt):
+            list(webp.decode_many([images[0] for images in stored[6:20]] + [stored[7][0][:k]]))
+
+
 def test_pixel_arrays(spark):
     media = spark.createDataFrame([(1, bytearray(webp.encode(np.array([[0xFF010203, 0x80FFFFFF]], dtype=np.uint32)))), (2, None), (3, bytearray(b"no"))], "k int, media binary")
     got = {r.row.k: (r.width, r.height, r.pixels and bytes(r.pixels)) for r in webp.pixels(media).collect()}
