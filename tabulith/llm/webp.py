@@ -11,10 +11,12 @@ back-references are read one by one. Memory is bounded by SLICE_BITS, not by the
 
 A payload is stored three bytes a pixel (red, green, blue), WIDTH pixels a row, and in several
 images if it needs more than MAX_ROWS rows. Every image is stored with all of the format's means:
-the subtract-green, cross-colour and predictor transforms, a colour cache, groups of prefix codes
-by blocks, back-references for runs, and a palette before them if its colours are few. Predictors
-go round from block to block, from a first one that follows from the payload's checksum (SHARES),
-so an image of six blocks has six of the 14 and a column has all. This lengthens text.
+the predictor, subtract-green and cross-colour transforms, a colour cache, groups of prefix codes
+by blocks, back-references for runs, and a palette before them if its colours are few. Each block
+has the cross-colour factors (of FACTORS) and the predictor (of all 14) that take the fewest bits, by
+the entropies of the image's residues in one row of SAMPLE_ROWS. Predictors that take equally many, as
+all do in a first row, where the format has its own, go round from block to block, from a first one
+that follows from the payload's checksum (SHARES). On text the black predictor wins most blocks.
 
 ``store_many`` and ``decode_many`` do in numpy, for up to LANES images side by side, what ``encode``
 and ``decode`` do for one: each step reads a token of every stream, or adds a prediction to a pixel
@@ -49,6 +51,7 @@ RUN_LEAST, RUN_SHARE, COPY_MOST = 6, 4, 4096
 SHARES, SHARE_BITS, CACHE_BITS = 256, 5, 6
 LANES, LANE_PIXELS, STORE_PIXELS, SLICE_BYTES, LEAST_LANES, TABLE_BITS, CODE_BITS = 4096, 1 << 22, 1 << 18, 8 << 20, 4, 11, 9
 GREENS, LENGTHS, DISTANCES = 256, 24, 40
+SAMPLE_ROWS, FACTORS = 8, (-32, -24, -16, -8, 0, 8, 16, 24)
 # Fixed values of the format: the order of the code lengths of code lengths, and the hash factor of the colour cache.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
@@ -57,6 +60,9 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 
 
+BLACK = np.array([0, 0, 0, 255], dtype=np.int16)
+
+
 class Corrupt(ValueError):
     """The bytes aren't a lossless WebP image."""
 
@@ -413,7 +419,7 @@ def predicted(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarra
         half = mean(left, top)
         off = half - top_left
         return np.clip(half + np.where(off < 0, -(-off >> 1), off >> 1), 0, 255)
-    return np.broadcast_to(np.array([0, 0, 0, 255], dtype=np.int16), left.shape)
+    return np.broadcast_to(BLACK, left.shape)
 
 
 def _modes(image: np.ndarray, bits: int, x: int, y: int) -> np.ndarray:
@@ -972,17 +978,23 @@ def _expected(pixels: np.ndarray, at: np.ndarray, mode: np.ndarray, width: int)
     """The places in the order of their predictors, and what is expected there. pixels: four int16 in one number."""
     order = np.argsort(mode, kind="stable")
     at = at[order]
-    left, top, top_right, top_left = (pixels.take(at - k, mode="clip").view(np.int16).reshape(-1, 4) for k in (1, width, width - 1, width + 1))
-    want = np.empty((len(at), 4), dtype=np.int16)
     counts = np.bincount(mode, minlength=16)
-    lo = 0
-    for m in np.flatnonzero(counts).tolist():
+    black = lo = int(counts[0])  # these need no neighbours
+    near = _neighbours(pixels, at[black:], width)
+    want = np.empty((len(at), 4), dtype=np.int16)
+    want[:black] = BLACK
+    for m in (np.flatnonzero(counts[1:]) + 1).tolist():
         s = slice(lo, lo + int(counts[m]))
-        want[s] = predicted(m, left[s], top[s], top_right[s], top_left[s])
+        want[s] = predicted(m, *(x[s.start - black : s.stop - black] for x in near))
         lo = s.stop
     return at, want
 
 
+def _neighbours(pixels: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """The pixels to the left, above, and above to the right and left."""
+    return [pixels.take(at - k, mode="clip").view(np.int16).reshape(-1, 4) for k in (1, width, width - 1, width + 1)]
+
+
 def _add_predictions_at_once(residue: np.ndarray, mode: np.ndarray, heights: np.ndarray) -> np.ndarray:
     """add_predictions for images below one another: a pixel needs none whose column plus twice the row is as large as its own."""
     width = residue.shape[1]
@@ -990,12 +1002,17 @@ def _add_predictions_at_once(residue: np.ndarray, mode: np.ndarray, heights: np.
     flat_mode = _edged(mode, y).ravel()
     channels = _channels(residue).reshape(-1, 4)
     pixels = channels.view(np.int64)[:, 0]
+    black = flat_mode == 0  # waits for no other pixel
+    channels[black, 3] = (channels[black, 3] + BLACK[3]) & 255
     by_row = np.argsort(y, kind="stable")
     y = y[by_row]
     begin = by_row * width - 2 * y
     for t in range(width + 2 * int(y[-1])):
         lo, hi = np.searchsorted(y, (max(0, (t - width + 2) // 2), t // 2 + 1)).tolist()
         at = begin[lo:hi] + t
+        at = at[~black[at]]
+        if not len(at):
+            continue
         at, want = _expected(pixels, at, flat_mode[at], width)
         want += channels[at]
         want &= 255
@@ -1020,31 +1037,110 @@ def _cache_slots(flat: np.ndarray, cache_bits: int) -> np.ndarray:
     return (flat * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.uint16)
 
 
-def _blocks_of(height: int, width: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Predictors, cross-colour factors and groups of an image's blocks; they follow from places and the payload's share.
-
-    The factors are close to -32, which takes back what subtracted green does to text.
-    """
+@lru_cache(maxsize=1)
+def _logs() -> np.ndarray:
+    """Logarithms to base 2 in 64ths, whole, so that sums are exact; of 0 as of 1. An image's sample has fewer than 2 ** 20 values of a code."""
+    return np.rint(64 * np.log2(np.maximum(np.arange(1 << 20), 1))).astype(np.int32)
+
+
+def _bits(values: list[np.ndarray], image: np.ndarray, images: int) -> np.ndarray:
+    """What the values (0 to 255) of each place take by the entropy of its image's values, in 64ths of a bit."""
+    found = [image | v for v in values]
+    counts = sum(np.bincount(of, minlength=images << 8) for of in found).reshape(-1, 256)
+    logs = _logs()
+    bits = (logs.take(counts.sum(axis=1), mode="clip")[:, None] - logs.take(counts, mode="clip")).ravel()
+    return sum(bits.take(of) for of in found)
+
+
+class _Sample:
+    """Some pixels of images of one width below one another: one row of SAMPLE_ROWS, and at least one of each block."""
+
+    def __init__(self, heights: np.ndarray, width: int):
+        self.heights, self.width, self.images = heights, width, len(heights)
+        self.across = _blocks(width, SHARE_BITS)
+        self.blocks = self.across * _blocks(heights, SHARE_BITS)
+        self.begins = np.cumsum(self.blocks) - self.blocks
+        y, image = _within(heights), np.repeat(np.arange(self.images), heights)
+        rows = np.flatnonzero((y % SAMPLE_ROWS == 1) | (y % (1 << SHARE_BITS) == 0) & (y == heights[image] - 1))
+        columns = np.arange(1, width)  # the first column's predictor is fixed
+        self.at = (rows[:, None] * width + columns).ravel()
+        self.image = np.repeat(image[rows] << 8, width - 1)  # times 256
+        self.block = ((self.begins[image] + self.across * (y >> SHARE_BITS))[rows, None] + (columns >> SHARE_BITS)).ravel()
+        self.below = np.repeat(y[rows] > 0, width - 1)  # in the first row it is fixed too
+
+    def sums(self, bits: np.ndarray, where: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """By block."""
+        return np.bincount(self.block[where], bits, int(self.blocks.sum()))
+
+    def split(self, of_block: np.ndarray) -> list[np.ndarray]:
+        """Each image's blocks as [row, column]."""
+        return [x.reshape(-1, self.across) for x in np.split(of_block.astype(np.uint32), self.begins[1:])]
+
+
+def _best_factors(argb: np.ndarray, sample: _Sample) -> list[np.ndarray]:
+    """The cross-colour factors, of FACTORS, with which the sampled red and blue residues of a block take the fewest bits."""
+    c = np.ascontiguousarray(argb).view(np.uint8).reshape(-1, 4)[sample.at]
+    blue, red = c[:, 0], c[:, 2]
+    of_green, of_red = (c[:, k].copy().view(np.int8).astype(np.int16) for k in (1, 2))
+
+    def best(channel: np.ndarray, by: np.ndarray, factors: tuple[int, ...]) -> np.ndarray:
+        found = [sample.sums(_bits([channel - (f * by >> 5).astype(np.uint8)], sample.image, sample.images)) for f in factors]
+        return np.array(factors)[np.argmin(found, axis=0)]
+
+    green_to_red, green_to_blue = best(red, of_green, FACTORS), best(blue, of_green, FACTORS)
+    blue = blue - (green_to_blue[sample.block] * of_green >> 5).astype(np.uint8)
+    red_to_blue = best(blue, of_red, (0, *(f for f in FACTORS if f)))
+    return sample.split((red_to_blue & 255) << 16 | (green_to_blue & 255) << 8 | green_to_red & 255)
+
+
+def _best_modes(argb: np.ndarray, sample: _Sample, shares: list[int]) -> list[np.ndarray]:
+    """The predictors with whose residues a block's sampled pixels take the fewest bits; equal ones go round, from the share's."""
+    place = _within(sample.blocks) + np.repeat(shares, sample.blocks)
+    below = np.flatnonzero(sample.below)
+    if not len(below):
+        return sample.split((place % 14) << 8)
+    at = sample.at[below]
+    channels = _channels(argb).reshape(-1, 4)
+    own, near = channels[at], _neighbours(channels.view(np.int64)[:, 0], at, sample.width)
+    image = sample.image[below]
+    found = np.empty((14, int(sample.blocks.sum())))
+    for m in range(14):
+        residue = (own - predicted(m, *near)).astype(np.uint8)
+        # red and blue share a code, green has its own
+        found[m] = sample.sums(_bits([residue[:, 0], residue[:, 2]], image, sample.images) + _bits([residue[:, 1]], image, sample.images), below)
+    turn = (place + np.arange(14)[:, None]) % 14
+    return sample.split(((place + np.argmin(np.take_along_axis(found, turn, axis=0), axis=0)) % 14) << 8)
+
+
+def _groups_of(height: int, width: int) -> np.ndarray:
+    """Groups of an image's blocks; they follow from places."""
     shape = _blocks(height, SHARE_BITS), _blocks(width, SHARE_BITS)
-    place = np.arange(shape[0] * shape[1], dtype=np.uint32).reshape(shape)
-    off = place % 4
-    return (place + share) % 14 << np.uint32(8), off << np.uint32(16) | (off + 0xE0) * np.uint32(0x101), place % 2
+    return np.arange(shape[0] * shape[1], dtype=np.uint32).reshape(shape) % 2
+
+
+def _told(kind: int, across: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and their sizes, of a transform with the data of its blocks (uint32), ``across`` a row. Those of few blocks are kept."""
+    return (_told_once if len(data) <= 256 else _told_once.__wrapped__)(kind, across, data)
+
+
+@lru_cache(maxsize=4096)
+def _told_once(kind: int, across: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    w = Writer()
+    w.put(1, 1)
+    w.put(kind, 2)
+    if data:
+        w.put(SHARE_BITS - 2, 3)
+        _write(w, np.frombuffer(data, dtype=np.uint32).reshape(-1, across), False)
+    return w.joined()
 
 
 @lru_cache(maxsize=1024)
-def _plan(height: int, width: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers, and their sizes, from the first transform after a palette to the codes, for an image of so many blocks."""
-    modes, factors, groups = _blocks_of(height << SHARE_BITS, width << SHARE_BITS, share)
+def _told_groups(height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and their sizes, from the end of the transforms to the codes, for an image of so many blocks."""
     w = Writer()
-    for kind, data in ((SUBTRACT_GREEN, None), (CROSS_COLOUR, factors), (PREDICTOR, modes)):
-        w.put(1, 1)
-        w.put(kind, 2)
-        if data is not None:
-            w.put(SHARE_BITS - 2, 3)
-            _write(w, data.astype(np.uint32), False)
     for value, size in ((0, 1), (1, 1), (CACHE_BITS, 4), (1, 1), (SHARE_BITS - 2, 3)):
         w.put(value, size)
-    _write(w, groups.astype(np.uint32) << np.uint32(8), False)
+    _write(w, _groups_of(height << SHARE_BITS, width << SHARE_BITS) << np.uint32(8), False)
     return w.joined()
 
 
@@ -1052,9 +1148,14 @@ def _encode_at_once(images: list[np.ndarray], heads: list[Writer], shares: list[
     """Opaque images of one width, by every transform, a colour cache, several groups of codes and back-references for runs."""
     n, width = len(images), images[0].shape[1]
     heights = np.array([len(a) for a in images])
-    modes, factors, groups = zip(*(_blocks_of(len(a), width, s) for a, s in zip(images, shares, strict=True)), strict=True)
-    argb = _crossed(shift_green(np.concatenate(images), -1), _rows_of(factors, heights, SHARE_BITS, width), -1)
-    flat = _take_predictions_at_once(argb, _rows_of(modes, heights, SHARE_BITS, width) >> np.uint32(8), heights).ravel()
+    groups = [_groups_of(len(a), width) for a in images]
+    sample = _Sample(heights, width)
+    argb = np.concatenate(images)
+    modes = _best_modes(argb, sample, shares)
+    argb = _take_predictions_at_once(argb, _rows_of(modes, heights, SHARE_BITS, width) >> np.uint32(8), heights)
+    argb = shift_green(argb, -1)
+    factors = _best_factors(argb, sample)
+    flat = _crossed(argb, _rows_of(factors, heights, SHARE_BITS, width), -1).ravel()
     # tokens: runs of a pixel, then what the cache holds
     first = width * (np.cumsum(heights) - heights)
     new = np.concatenate([[True], flat[1:] != flat[:-1]])
@@ -1111,8 +1212,10 @@ def _encode_at_once(images: list[np.ndarray], heads: list[Writer], shares: list[
         plain_sizes += size.ravel()[of]
     values[at_plain], sizes[at_plain] = plain_values, plain_sizes
     out = _Numbers(n)
-    for w, a, s in zip(heads, images, shares, strict=True):
-        w.put_all(*_plan(_blocks(len(a), SHARE_BITS), _blocks(width, SHARE_BITS), s % 14))
+    for w, f, m in zip(heads, factors, modes, strict=True):
+        for kind, data in ((PREDICTOR, m.tobytes()), (SUBTRACT_GREEN, b""), (CROSS_COLOUR, f.tobytes())):
+            w.put_all(*_told(kind, sample.across, data))
+        w.put_all(*_told_groups(*m.shape))
     told = [w.joined() for w in heads]
     out.add(*(np.concatenate(x) for x in zip(*told, strict=True)), np.array([len(v) for v, _ in told]))
     for g in (0, 1):
@@ -1480,9 +1583,8 @@ def pixels(media: DataFrame, column: str = "media") -> DataFrame:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole_batch in batches:
-        media = whole_batch.column(2)
-        sizes = np.bincount(pc.list_parent_indices(media).to_numpy(), pc.binary_length(pc.list_flatten(media)).to_numpy(), whole_batch.num_rows)
-        for batch in _slices(whole_batch, sizes):
+        # what is read back is as long as the texts, however small its media
+        for batch in _slices(whole_batch, pc.fill_null(whole_batch.column(1), 0).to_numpy()):
             stored_rows = batch.column(2).to_pylist()
             images = (samples(argb) for argb in decode_many([m for media in stored_rows for m in media]))
             out = []
