@@ -1,18 +1,25 @@
 """Page layout: glyphs, boxes and ink profiles as range joins, windows and aggregates.
 
 Glyphs are rows (pdf_id, page, seq, ch, font, x0, y0, x1, y1, size) with the origin at the top
-left; boxes are (x0, y0, x1, y1). Range joins are hash joins by page with the range as their
-condition: glyphs are shuffled once, by page, and what follows is aggregated in the same
-partitioning. A page's areas are the build side, and a page bounds their number.
+left; boxes are (x0, y0, x1, y1). What goes through all glyphs of a page takes them as rows or by
+the page (``sheets.Sheets``), and works on arrays, some pages at a time; keys tell the areas of a
+page apart. ``within`` is the range join of rows: a hash join by page with the range as its
+condition. A page's areas are the build side, and a page bounds their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = ["pdf_id", "page"]
-BOX = ["x0", "y0", "x1", "y1"]
+from tabulith.operators import sheets
+from tabulith.operators.sheets import BOX, PAGE, Glyphs, Sheets
+
 #: What an area without any glyph is treated as: the column threshold and the space threshold.
 NO_GLYPHS = (50.55555, 1.4)
 
@@ -72,12 +79,20 @@ def in_order(place: str = "seq", what: str = "ch") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, what))), lambda x: x[what]), "")
 
 
-def area_text(glyphs: DataFrame, areas: DataFrame, keys: list[str]) -> DataFrame:
+def _texts(glyphs: Glyphs, a_page: np.ndarray, a_boxes: np.ndarray) -> pa.Array:
+    """Text of each area: the glyphs whose shrunk boxes it contains, in reading order."""
+    area, glyph = sheets.contained(glyphs.page, glyphs.shrunk(0.5), a_page, a_boxes)
+    return sheets.joined(glyphs.ch, glyph, np.bincount(area, minlength=len(a_page)))
+
+
+def area_text(glyphs: DataFrame | Sheets, areas: DataFrame, keys: list[str]) -> DataFrame:
     """Text of each area: its shrunk glyphs in reading order. Areas without glyphs have an empty text."""
-    shrunk = glyphs.select(*PAGE, "seq", "ch", *shrink(0.5))
-    found = within(shrunk, areas).groupBy(*PAGE, *[f"a_{k}" for k in keys]).agg(in_order().alias("text"))
-    found = found.select(*PAGE, *[F.col(f"a_{k}").alias(k) for k in keys], "text")
-    return areas.select(*PAGE, *keys).join(found, [*PAGE, *keys], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        page, columns = sheets.areas_of(batch)
+        return sheets.keyed(batch, page) | {k: columns[k] for k in keys} | {"text": _texts(g, page, sheets.boxes_of(columns))}
+
+    return sheets.over(glyphs, ("ch", *BOX), kernel, f"{sheets.kinds(areas, *PAGE, *keys)}, text string", areas.select(*PAGE, *keys, *BOX))
 
 
 def with_spaces(glyphs: DataFrame, space: Column) -> DataFrame:
@@ -104,81 +119,235 @@ def _followed_by_blanks(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*own, F.inline(F.when(F.col("twin"), F.array(one, blank)).otherwise(F.array(one)))).select(*columns)
 
 
+def spaced_texts(glyphs: DataFrame | Sheets, share: float) -> DataFrame:
+    """Text of each page with the blanks of ``with_spaces``, for a space of ``share`` of a glyph's size, and how many are inserted."""
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        n = len(g)
+        space, gap = g["size"] * share / 3, np.zeros(n, bool)
+        gap[:-1] = (np.abs(g["x0"][1:] - g["x1"][:-1]) > space[:-1]) | (np.abs(g["y1"][1:] - g["y1"][:-1]) > space[:-1])
+        gap[:-1] &= ~g.first()[1:]
+        ends = np.arange(n) + np.cumsum(gap)
+        taken = np.full(n + int(gap.sum()), n)
+        taken[ends - gap] = np.arange(n)
+        count, inserted = np.bincount(g.page, minlength=g.pages), np.bincount(g.page[gap], minlength=g.pages)
+        some = np.flatnonzero(count)
+        text = sheets.joined(pa.concat_arrays([g.ch, pa.array([" "])]), taken, (count + inserted)[some])
+        return sheets.keyed(batch, some) | {"inserted": inserted[some], "text": text}
+
+    own = sheets.of(glyphs, ("ch", *BOX, "size"))
+    return sheets.over(own, ("ch", *BOX, "size"), kernel, f"{sheets.kinds(own.rows, *PAGE)}, inserted long, text string")
+
+
+def marked_blanks(glyphs: DataFrame | Sheets) -> DataFrame:
+    """Per page what ``with_marked_spaces`` gives: how many glyphs, how many of them blanks, and the sum of their right borders."""
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        bare, twin = np.isnan(g["x0"]), np.zeros(len(g), bool)
+        mark = bare & pc.equal(g.ch, " ").to_numpy(zero_copy_only=False)
+        twin[:-1] = mark[1:] & ~g.first()[1:]
+        twin &= ~bare
+        own, twins = np.bincount(g.page[~bare], minlength=g.pages), np.bincount(g.page[twin], minlength=g.pages)
+        reach = np.nan_to_num(g["x1"]) * (~bare + twin.astype(np.int64))
+        some = np.flatnonzero(own)
+        return sheets.keyed(batch, some) | {"n": (own + twins)[some], "blanks": twins[some], "reach": np.bincount(g.page, reach, g.pages)[some]}
+
+    own = sheets.of(glyphs, ("ch", *BOX))
+    return sheets.over(own, ("ch", *BOX), kernel, f"{sheets.kinds(own.rows, *PAGE)}, n long, blanks long, reach double")
+
+
 def text_layer(pages: DataFrame, glyphs: DataFrame) -> DataFrame:
     """pages with has_text: whether a glyph with a font stands on the page."""
     some = glyphs.where("font is not null").select(*PAGE).distinct().withColumn("has_text", F.lit(True))
     return pages.join(some, PAGE, "left").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
 
 
-def direction(glyphs: DataFrame, areas: DataFrame, keys: list[str]) -> DataFrame:
+def _votes(g: Glyphs, page: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per area: glyphs that are wider than high, the others, and whether it is turned."""
+    area, glyph = sheets.contained(g.page, g.boxes(), page, boxes)
+    across = ((g["x1"] - g["x0"]) > (g["y1"] - g["y0"]))[glyph]
+    wide, high = np.bincount(area[across], minlength=len(page)), np.bincount(area[~across], minlength=len(page))
+    return wide, high, (wide + high >= 10) & (wide >= high)
+
+
+def direction(glyphs: DataFrame | Sheets, areas: DataFrame, keys: list[str]) -> DataFrame:
     """Per area: how many glyphs in it are wider than high, how many not, and the direction that they vote for."""
-    wide = (F.col("x1") - F.col("x0")) > (F.col("y1") - F.col("y0"))
-    votes = within(glyphs, areas).groupBy(*PAGE, *[F.col(f"a_{k}").alias(k) for k in keys]).agg(F.count_if(wide).alias("wide"), F.count_if(~wide).alias("high"))
-    got = areas.select(*PAGE, *keys).join(votes, [*PAGE, *keys], "left").fillna(0, ["wide", "high"])
-    turned = (F.col("wide") + F.col("high") >= 10) & (F.col("wide") >= F.col("high"))
-    return got.withColumn("direction", F.when(turned, "left").otherwise("up"))
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        page, columns = sheets.areas_of(batch)
+        wide, high, turned = _votes(g, page, sheets.boxes_of(columns))
+        return sheets.keyed(batch, page) | {k: columns[k] for k in keys} | {"wide": wide, "high": high, "direction": pc.if_else(pa.array(turned), "left", "up")}
+
+    return sheets.over(glyphs, tuple(BOX), kernel, f"{sheets.kinds(areas, *PAGE, *keys)}, wide long, high long, direction string", areas.select(*PAGE, *keys, *BOX))
 
 
-def font_thresholds(glyphs: DataFrame, areas: DataFrame, keys: list[str], zoom: Column) -> DataFrame:
+def _mean_sizes(g: Glyphs, page: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Per area the mean size of the glyphs of a size that lie in it; NaN without any."""
+    sized = g.where((g["size"] != 0) & ~np.isnan(g["size"]))
+    area, glyph = sheets.contained(sized.page, sized.boxes(), page, boxes, closed=False)
+    n = np.bincount(area, minlength=len(page))
+    return np.where(n > 0, np.bincount(area, sized["size"][glyph], len(page)) / np.maximum(n, 1), np.nan)
+
+
+def font_thresholds(glyphs: DataFrame | Sheets, areas: DataFrame, keys: list[str], zoom: Column) -> DataFrame:
     """Per area the space and column thresholds, from the mean size of its glyphs.
 
     A page without glyphs gets fixed values; an area without any on a page with some is an error
     (thresholds are null).
     """
-    sized = glyphs.where("size <> 0")
-    mean = within(sized, areas, closed=False).groupBy(*PAGE, *[F.col(f"a_{k}").alias(k) for k in keys]).agg(F.avg("size").alias("mean"))
-    some = glyphs.select(*PAGE).distinct().withColumn("some", F.lit(True))
-    got = areas.join(mean, [*PAGE, *keys], "left").join(some, PAGE, "left")
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        page, columns = sheets.areas_of(batch)
+        mean = _mean_sizes(g, page, sheets.boxes_of(columns))
+        some = np.bincount(g.page, minlength=g.pages) > 0
+        return sheets.keyed(batch, page) | {k: columns[k] for k in columns} | {"mean": pa.array(mean, mask=np.isnan(mean)), "some": some[page]}
+
+    rest = [c for c in areas.columns if c not in PAGE]
+    got = sheets.over(glyphs, (*BOX, "size"), kernel, f"{sheets.kinds(areas, *PAGE, *rest)}, mean double, some boolean", areas)
     auto, space = NO_GLYPHS
     return got.select(
         *PAGE,
         *keys,
-        F.when(F.col("some").isNull(), F.lit(space)).otherwise(F.col("mean") * 0.8).alias("space_threshold"),
-        F.when(F.col("some").isNull(), F.lit(auto)).otherwise((F.col("mean") * 0.55 * 1.65 * zoom).cast("int").cast("double")).alias("column_threshold"),
-        (F.col("some").isNotNull() & F.col("mean").isNull()).alias("error"),
+        F.when(~F.col("some"), F.lit(space)).otherwise(F.col("mean") * 0.8).alias("space_threshold"),
+        F.when(~F.col("some"), F.lit(auto)).otherwise((F.col("mean") * 0.55 * 1.65 * zoom).cast("int").cast("double")).alias("column_threshold"),
+        (F.col("some") & F.col("mean").isNull()).alias("error"),
     )
 
 
-def caption_anchors(glyphs: DataFrame) -> DataFrame:
-    """Places where the word Table or TABLE begins; a word that ends the page doesn't count, nor does one at its very start."""
-    order = Window.partitionBy(*PAGE).orderBy("seq")
-    word = F.concat("ch", *[F.coalesce(F.lead("ch", k).over(order), F.lit("")) for k in range(1, 5)])
-    found = glyphs.withColumns({"word": word, "after": F.lead("ch", 5).over(order), "place": F.row_number().over(order) - 1})
-    return found.where(F.col("word").isin("Table", "TABLE") & F.col("after").isNotNull())
-
-
-def captions(glyphs: DataFrame, outlines: DataFrame, keys: list[str]) -> DataFrame:
+_STEMS = sorted({w[:k] for w in ("Table", "TABLE") for k in range(6)})
+
+
+def _anchors(g: Glyphs) -> np.ndarray:
+    """Glyphs where the word Table or TABLE begins; a word that ends the page doesn't count."""
+    place = np.flatnonzero(pc.is_in(g.ch, pa.array(_STEMS)).to_numpy(zero_copy_only=False))
+    place = place[place + 5 < len(g)]
+    place = place[g.page[place] == g.page[place + 5]]
+    word = pc.binary_join_element_wise(*[g.ch.take(pa.array(place + k)) for k in range(5)], "")
+    return place[pc.is_in(word, pa.array(["Table", "TABLE"])).to_numpy(zero_copy_only=False)]
+
+
+def _caption_areas(g: Glyphs, page: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(outline, box from its anchor down to it) of the outlines with an anchor that is near enough. Of equally near anchors the first counts."""
+    at = _anchors(g)
+    starts = np.searchsorted(g.page, np.arange(g.pages))
+    begin = np.searchsorted(g.page[at], page)
+    size = np.searchsorted(g.page[at], page, "right") - begin
+    o, k = np.repeat(np.arange(len(page)), size), at[sheets.ranges(begin, size)]
+    far = (boxes[1][o] - g["y0"][k]) / g["page_h"][k]
+    above = (g["y0"][k] < boxes[1][o]) & ~np.isnan(far)
+    o, k, far = o[above], k[above], far[above]
+    order = np.lexsort((k, far, o))
+    o, k, far = o[order], k[order], far[order]
+    best = np.ones(len(o), bool)
+    best[1:] = o[1:] != o[:-1]
+    o, k, far = o[best], k[best], far[best]
+    x0, y0, x1, _ = (b[o] for b in boxes)
+    left, top = g["x0"][k], g["y0"][k]
+    beside = (np.abs(x0 - left) / g["page_w"][k] < 0.1) | ((x0 < left) & (left < x1))
+    near = (k > starts[g.page[k]]) & (far < 0.2) & beside
+    over = np.maximum(x0 - left, 0.0)  # a caption that begins left of the outline ends as far right of it
+    return o[near], np.stack([x0 - over, top, x1 + over, y0])[:, near]
+
+
+def captions(glyphs: DataFrame | Sheets, outlines: DataFrame, keys: list[str]) -> DataFrame:
     """Caption of each outline: from the nearest 'Table' above it down to the outline; empty if none is near enough.
 
-    glyphs: with page_w and page_h; outlines: in page units. Of equally near anchors the first counts.
+    glyphs: with page_w and page_h; outlines: in page units. An anchor at a page's very start doesn't count.
     """
-    above = outlines.join(caption_anchors(glyphs).select(*PAGE, "place", F.col("x0").alias("g_x0"), F.col("y0").alias("g_y0"), "page_w", "page_h"), PAGE)
-    above = above.where(F.col("g_y0") < F.col("y0")).withColumn("far", (F.col("y0") - F.col("g_y0")) / F.col("page_h"))
-    best = above.groupBy(*PAGE, *keys, *BOX).agg(F.min(F.struct("far", "place", "g_x0", "g_y0", "page_w")).alias("b")).select(*PAGE, *keys, *BOX, "b.*")
-    beside = (F.abs(F.col("x0") - F.col("g_x0")) / F.col("page_w") < 0.1) | ((F.col("x0") < F.col("g_x0")) & (F.col("g_x0") < F.col("x1")))
-    near = best.where((F.col("place") > 0) & (F.col("far") < 0.2) & beside)
-    over = F.greatest(F.col("x0") - F.col("g_x0"), F.lit(0.0))  # a caption that begins left of the outline ends as far right of it
-    scan = near.select(*PAGE, *keys, (F.col("x0") - over).alias("x0"), F.col("g_y0").alias("y0"), (F.col("x1") + over).alias("x1"), F.col("y0").alias("y1"))
-    found = area_text(glyphs, scan, keys)
-    return outlines.select(*PAGE, *keys).join(found, [*PAGE, *keys], "left").withColumnRenamed("text", "caption").withColumn("caption", F.coalesce("caption", F.lit("")))
-
-
-def words(glyphs: DataFrame, gap: float = 3.0) -> DataFrame:
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        page, columns = sheets.areas_of(batch)
+        outline, scan = _caption_areas(g, page, sheets.boxes_of(columns))
+        found = _texts(g, page[outline], scan)
+        place = np.full(len(page), len(outline))
+        place[outline] = np.arange(len(outline))
+        caption = pa.concat_arrays([found, pa.array([""])]).take(pa.array(place))
+        return sheets.keyed(batch, page) | {k: columns[k] for k in keys} | {"caption": caption}
+
+    return sheets.over(glyphs, ("ch", *BOX, "page_w", "page_h"), kernel, f"{sheets.kinds(outlines, *PAGE, *keys)}, caption string", outlines.select(*PAGE, *keys, *BOX))
+
+
+def _words(g: Glyphs, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of the glyphs of each word, the glyphs that aren't blank, and the number of each of those words on its page."""
+    blank, fresh = g.blank(), np.ones(len(g), bool)
+    near = (g["x0"][1:] - g["x1"][:-1] <= gap) & (np.abs(g["y0"][1:] - g["y0"][:-1]) <= gap) & ~blank[:-1]
+    fresh[1:] = ~near | g.first()[1:]
+    number = np.cumsum(fresh)
+    shown = np.flatnonzero(~blank)
+    first = np.ones(len(shown), bool)
+    first[1:] = number[shown[1:]] != number[shown[:-1]]
+    begin = np.flatnonzero(first)
+    before = np.concatenate([[0], number])[np.searchsorted(g.page, g.page[shown[begin]])]
+    return begin, shown, number[shown[begin]] - before
+
+
+def _word_boxes(g: Glyphs, begin: np.ndarray, shown: np.ndarray) -> np.ndarray:
+    if not len(begin):
+        return np.zeros((4, 0))
+    return np.stack([low.reduceat(g[c][shown], begin) for c, low in zip(BOX, (np.fmin, np.fmin, np.fmax, np.fmax), strict=True)])
+
+
+def words(glyphs: DataFrame | Sheets, gap: float = 3.0) -> DataFrame:
     """Words of each page with their boxes: a blank, or a step of more than ``gap`` to the right or between lines, ends one."""
-    order = Window.partitionBy(*PAGE).orderBy("seq")
-    blank = F.trim("ch") == ""
-    apart = (F.col("x0") - F.lag("x1").over(order) > gap) | (F.abs(F.col("y0") - F.lag("y0").over(order)) > gap) | (F.trim(F.lag("ch").over(order)) == "")
-    marked = glyphs.withColumns({"blank": blank, "fresh": F.coalesce(apart, F.lit(True)).cast("int")})
-    numbered = marked.withColumn("word", F.sum("fresh").over(order)).where("not blank")
-    return numbered.groupBy(*PAGE, "word").agg(in_order().alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        begin, shown, number = _words(g, gap)
+        text = sheets.joined(g.ch, shown, np.diff(np.append(begin, len(shown))))
+        boxes = [pa.array(b, mask=np.isnan(b)) for b in _word_boxes(g, begin, shown)]
+        return sheets.keyed(batch, g.page[shown[begin]]) | {"word": number, "text": text} | dict(zip(BOX, boxes, strict=True))
+
+    own = sheets.of(glyphs, ("ch", *BOX))
+    return sheets.over(own, ("ch", *BOX), kernel, f"{sheets.kinds(own.rows, *PAGE)}, word long, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def _sessions(page: np.ndarray, values: np.ndarray, tolerance: float) -> tuple[np.ndarray, ...]:
+    """Sessions of equal and following values of each page: page, first, mean of the distinct values, and how many values."""
+    known = ~np.isnan(values)
+    page, values = page[known], values[known]
+    order = np.lexsort((values, page))
+    page, values = page[order], values[order]
+    if not len(page):
+        return page, values, values, page
+    other = np.ones(len(page), bool)
+    other[1:] = (page[1:] != page[:-1]) | (values[1:] != values[:-1])
+    at = np.flatnonzero(other)
+    n, page, values = np.diff(np.append(at, len(page))), page[at], values[at]
+    fresh = np.ones(len(page), bool)
+    fresh[1:] = (page[1:] != page[:-1]) | (values[1:] - values[:-1] > tolerance)
+    at = np.flatnonzero(fresh)
+    return page[at], values[at], np.add.reduceat(values, at) / np.diff(np.append(at, len(page))), np.add.reduceat(n, at)
 
 
-def snapped(values: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Sessions of values (keys, value, n) that follow one another within ``tolerance``: keys, first, mean and n."""
-    order = Window.partitionBy(*keys).orderBy("value")
-    fresh = F.coalesce(F.col("value") - F.lag("value").over(order) > tolerance, F.lit(True)).cast("int")
-    marked = values.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order))
-    return marked.groupBy(*keys, "session").agg(F.min("value").alias("first"), F.avg("value").alias("mean"), F.sum("n").alias("n")).drop("session")
+def _edges(page: np.ndarray, boxes: np.ndarray, pages: int, scale: int, tolerance: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Page, whether it is a column line, and position of each candidate rule."""
+    rows = _sessions(np.tile(page, 2), np.concatenate([boxes[1], boxes[3]]), tolerance)
+    starts = _sessions(page, boxes[0], tolerance)
+    columns = starts[3] >= least
+    ends = np.full(pages, -np.inf)
+    np.fmax.at(ends, page, boxes[2])
+    right = np.flatnonzero(np.isfinite(ends))
+    own = np.concatenate([rows[0], starts[0][columns], right])
+    at = np.concatenate([rows[2], starts[1][columns], ends[right]])
+    return own, np.arange(len(own)) >= len(rows[0]), np.trunc(at).astype(np.int64) * scale
+
+
+_EDGES = "kind string, position int"
+
+
+def _edge_rows(batch: pa.RecordBatch, edges: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict:
+    page, column, position = edges
+    return sheets.keyed(batch, page) | {"kind": pc.if_else(pa.array(column), "v", "h"), "position": position.astype(np.int32)}
+
+
+def page_edges(glyphs: DataFrame | Sheets, gap: float = 3.0, scale: int = 6, tolerance: float = 3.0, least: int = 3) -> DataFrame:
+    """``word_edges`` of ``words``, without the words as rows."""
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        begin, shown, _ = _words(g, gap)
+        return _edge_rows(batch, _edges(g.page[shown[begin]], _word_boxes(g, begin, shown), g.pages, scale, tolerance, least))
+
+    own = sheets.of(glyphs, ("ch", *BOX))
+    return sheets.over(own, ("ch", *BOX), kernel, f"{sheets.kinds(own.rows, *PAGE)}, {_EDGES}")
 
 
 def word_edges(found: DataFrame, scale: int = 6, tolerance: float = 3.0, least: int = 3) -> DataFrame:
@@ -187,12 +356,12 @@ def word_edges(found: DataFrame, scale: int = 6, tolerance: float = 3.0, least:
     Rows part at tops and bottoms of lines, columns where ``least`` words or more begin, and at the
     right of them all; positions within the tolerance are one.
     """
-    ends = found.select(*PAGE, F.explode(F.array("y0", "y1")).alias("value")).groupBy(*PAGE, "value").agg(F.count("*").alias("n"))
-    rows = snapped(ends, PAGE, tolerance).select(*PAGE, F.lit("h").alias("kind"), F.col("mean").alias("at"))
-    starts = found.groupBy(*PAGE, F.col("x0").alias("value")).agg(F.count("*").alias("n"))
-    columns = snapped(starts, PAGE, tolerance).where(F.col("n") >= least).select(*PAGE, F.lit("v").alias("kind"), F.col("first").alias("at"))
-    right = found.groupBy(*PAGE).agg(F.max("x1").alias("at")).select(*PAGE, F.lit("v").alias("kind"), "at")
-    return rows.union(columns).union(right).select(*PAGE, "kind", (F.col("at").cast("int") * scale).alias("position"))
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        return _edge_rows(batch, _edges(g.page, g.boxes(), g.pages, scale, tolerance, least))
+
+    own = sheets.of(found.withColumn("seq", F.col("word").cast("long")), tuple(BOX))
+    return sheets.over(own, tuple(BOX), kernel, f"{sheets.kinds(own.rows, *PAGE)}, {_EDGES}")
 
 
 # ---- profiles ---------------------------------------------------------------------------
@@ -220,6 +389,29 @@ def column_gaps(profile: DataFrame, keys: list[str], threshold: Column) -> DataF
     return runs.where(F.col("right") - F.col("left") >= threshold).select(*keys, "band", "left", "right")
 
 
+def page_gaps(glyphs: DataFrame | Sheets, profile: Callable[[Glyphs], tuple[np.ndarray, np.ndarray, np.ndarray]], least: float) -> DataFrame:
+    """``column_gaps`` of a profile of each page, without the profile as rows. profile: band, x and ink (0 or 1) of each glyph."""
+
+    def kernel(g: Glyphs, batch: pa.RecordBatch) -> dict:
+        band, x, ink = profile(g)
+        order = np.lexsort((ink, x, band, g.page))
+        page, band, x, ink = g.page[order], band[order], x[order], ink[order]
+        other = np.ones(len(page), bool)
+        other[:-1] = (page[1:] != page[:-1]) | (band[1:] != band[:-1]) | (x[1:] != x[:-1])
+        clear = np.flatnonzero(other & (ink == 0))  # a column's last glyph has most ink
+        page, band, x = page[clear], band[clear], x[clear]
+        fresh = np.ones(len(page), bool)
+        fresh[1:] = (page[1:] != page[:-1]) | (band[1:] != band[:-1]) | (x[1:] != x[:-1] + 1)
+        begin = np.flatnonzero(fresh)
+        end = np.append(begin[1:], len(page))[: len(begin)] - 1
+        wide = x[end] - x[begin] >= least
+        begin, end = begin[wide], end[wide]
+        return sheets.keyed(batch, page[begin]) | {"band": band[begin].astype(np.int32), "left": x[begin].astype(np.int32), "right": x[end].astype(np.int32)}
+
+    own = sheets.of(glyphs, ("ch", *BOX))
+    return sheets.over(own, ("ch", *BOX), kernel, f"{sheets.kinds(own.rows, *PAGE)}, band int, left int, right int")
+
+
 def blocks(gaps: DataFrame, keys: list[str], last: Column) -> DataFrame:
     """Blank (kind 0) and content (kind 1) blocks of each band that has a gap, from column 0 to ``last``.
 
