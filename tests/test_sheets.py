@@ -8,7 +8,7 @@ from tabulith.plans import fixtures as fx
 from tabulith.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
-BY_PAGE = ["glyph_cell_text", "caption_nearest", "word_edges", "word_boxes", "space_insertion", "space_duplication", "direction_vote", "content_blocks"]  # queries that must not shuffle glyphs one by one
+BY_PAGE = ["glyph_cell_text", "caption_nearest", "word_edges", "word_boxes", "space_insertion", "space_duplication", "direction_vote", "content_blocks", "column_gaps"]  # queries that must not shuffle glyphs one by one
 
 
 def shuffled(spark):
