@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,8 +55,9 @@ def is_ascii(c: Column) -> Column:
 
 
 def counted(c: Column, plain: str, full: str) -> Column:
-    """How many characters of a class c holds: by a short pattern where all of c is ASCII, which is much faster, else by the full one."""
-    return F.when(is_ascii(c), matches(c, plain)).otherwise(matches(c, full))
+    """How many characters of a class c holds: where all of c is ASCII by taking the others out, which is much faster than listing matches, else by the full class."""
+    others = "".join(chr(i) for i in range(128) if not re.match(plain, chr(i)))
+    return F.when(is_ascii(c), F.length(F.translate(c, others, ""))).otherwise(matches(c, full))
 
 
 def occurrences(c: Column, what: str) -> Column:

@@ -130,3 +130,21 @@ def test_generated_code_is_compiled(spark, name):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("name", ["paper_marks", "pluton_ffill", "primary_fuse"])
+def test_cells_of_a_table_stay_together(spark, name):
+    """Lines are shuffled once, by table, and never as cells; each is spelt once."""
+    from tabulith.operators import gates
+    from tabulith.plans import fixtures as fx
+
+    made = fx.cells(spark, "/root/testdata/sf0.001")
+    plan = gates.table_quality(made)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("transform(") == 1
+
+
+def test_classes_are_counted_as_they_match(spark):
+    shown = [chr(i) * 2 + "a1" for i in range(1, 128)] + ["", "é1", "٣٣", None]
+    got = spark.createDataFrame([(v,) for v in shown], "v string").select("v", *[text.counted(F.col("v"), a, b).alias(n) for n, a, b in (("digit", "[0-9]", text.DIGIT), ("word", "[^ ]", "[^ ]"))])
+    for r in got.collect():
+        assert (r.digit, r.word) == ((None, None) if r.v is None else (sum(ch.isdigit() for ch in r.v), sum(ch != " " for ch in r.v)))
