@@ -67,3 +67,11 @@ def test_glyphs_are_not_shuffled_one_by_one(spark, name):
     before = shuffled(spark)
     registry.queries()[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     assert shuffled(spark) - before < 2 * text
+
+
+def test_meta_of_printed_pages_is_that_of_rows(spark):
+    from tabulith.operators import extract
+
+    detections, pages, rows = fx.printed(spark, SF_DIR)
+    want, got = (extract.table_meta(detections, pages, g) for g in (rows, fx.printed_pages(spark, SF_DIR)))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.where("direction = 'left'").count() and got.where("direction = 'up'").count()
